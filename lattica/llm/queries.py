@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, license_scan, quality, token_counts, toxicity
+from . import html_extract, langid, license_scan, packing, quality, token_counts, toxicity
 from .common import table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.contract(table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.contract(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.contract(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,5 +36,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op5_toxicity, op6_license_scan, op8_token_counts, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_language_id, op4_best_fit_packing, op5_toxicity, op6_license_scan, op8_token_counts, op9_quality)}
 ORACLE_SQL: dict[str, str] = {}
