@@ -139,13 +139,12 @@ class Model:
         p = a * b
         return p[:, 1] / p.sum(1)
 
-    def mean(self, c: Chunk) -> np.ndarray:
-        x, lens, first = line_features(c)
+    def mean(self, x: np.ndarray, lens: np.ndarray, first: np.ndarray) -> np.ndarray:
         p = self.marginals(x, first)
         return np.add.reduceat(p * lens, first) / np.add.reduceat(lens, first)
 
     def score(self, c: Chunk) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * _logit(self.mean(c)) + self.offset)))
+        return 1 / (1 + np.exp(-(self.slope * _logit(self.mean(*line_features(c))) + self.offset)))
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -190,8 +189,10 @@ def train(texts: list[bytes], good: np.ndarray) -> Model:
     empty = Model(np.zeros(3 * WIDTH), np.zeros((2, 2)), 0.0, float(_logit(np.array(good.mean() if len(good) else 0.5))))
     if not texts or good.min() == good.max():
         return empty
-    c = Chunk(np.arange(len(texts)), texts)
-    x, lens, first = line_features(c)
+    parts = [line_features(c) for c in chunks(pa.array(texts, pa.binary()))]
+    before = np.cumsum([0, *(len(x) for x, _, _ in parts)])
+    x, lens = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    first = np.concatenate([p[2] + b for p, b in zip(parts, before, strict=False)])
     n_lines = np.diff(np.append(first, len(x)))
     doc = np.repeat(np.arange(len(texts)), n_lines)
     by_doc = good[doc]
@@ -201,7 +202,7 @@ def train(texts: list[bytes], good: np.ndarray) -> Model:
     cutoff = np.where(np.minimum.reduceat(p, first) < 0.5, 0.5, np.minimum.reduceat(p, first) + 1e-9)
     m = _fit_lines(x, first, np.where((by_doc == 0) & (p < cutoff[doc]), 0, 1), m, share)
     # the logistic curve: its middle is the cut with the fewest errors, put where the score is THRESHOLD
-    z = _logit(m.mean(c))
+    z = _logit(m.mean(x, lens, first))
     o = np.argsort(z)
     zs, ys = z[o], good[o]
     errors = np.concatenate(([0], np.cumsum(ys == 1))) + np.concatenate((np.cumsum((ys == 0)[::-1])[::-1], [0]))
