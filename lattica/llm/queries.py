@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, langid, license_scan, packing, quality, token_counts, toxicity
+from . import decontam, embed_neardup, html_extract, langid, license_scan, packing, quality, token_counts, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.contract(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_neardup.contract(table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.contract(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_language_id, op4_best_fit_packing, op5_toxicity, op6_license_scan, op8_token_counts, op9_quality)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_language_id, op3_embedding_neardup, op4_best_fit_packing, op5_toxicity, op6_license_scan, op8_token_counts, op9_quality, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
