@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embed_neardup, html_extract, langid, license_scan, packing, quality, token_counts, toxicity
+from . import decontam, embed_neardup, html_extract, jaccard_join, langid, license_scan, packing, quality, token_counts, toxicity
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.contract(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.contract(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.query(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_language_id, op3_embedding_neardup, op4_best_fit_packing, op5_toxicity, op6_license_scan, op8_token_counts, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_language_id, op3_embedding_neardup, op4_best_fit_packing, op5_toxicity, op6_license_scan, op7_jaccard_join, op8_token_counts, op9_quality, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
