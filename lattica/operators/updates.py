@@ -36,7 +36,7 @@ def partial(old: DataFrame, new: DataFrame, key: str, arrival: str, given: dict[
 
 
 def remove(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return df.join(keys.select(key).distinct(), key, "left_anti")
+    return df.join(keys.select(key).distinct(), key, "left_anti").select(*df.columns)
 
 
 def ring(df: DataFrame, limit: int, arrival: str) -> DataFrame:
