@@ -33,6 +33,8 @@ from .common import chunks, crc_mod, small_batches, struct
 ORDER = 3
 MIN_CONTEXT = 6
 MAX_CONTEXTS = 24_000
+#: The most frequent bytes are symbols of their own; rarer ones share one.
+MAX_SYMBOLS = 127
 TRAIN_DOCS = 400
 TRAIN_BYTES = 4_000_000
 UNDETERMINED = "und"
@@ -59,8 +61,10 @@ class Model:
         seen = np.zeros(256, np.int64)
         for b in joined.values():
             seen += np.bincount(b, minlength=256)
-        known = np.flatnonzero(seen)
-        symbol = np.zeros(256, np.int64)  # 0 stands for every byte that training lacked
+        known = np.sort(np.argsort(-seen, kind="stable")[: min(MAX_SYMBOLS, int((seen > 0).sum()))])
+        symbol = np.zeros(256, np.int64)  # 0 stands for every other byte
+        if not langs:
+            return Model([], symbol, np.zeros(1, np.int32), np.zeros((1, 0), np.float32), 1)
         symbol[known] = np.arange(1, len(known) + 1)
         return Model(langs, symbol, *_tables([symbol[joined[k]] for k in langs], len(known) + 1))
 
@@ -116,14 +120,12 @@ def _tables(texts: list[np.ndarray], a: int) -> tuple[np.ndarray, np.ndarray, in
         for k in range(1, ORDER + 1):
             g += s[ORDER - k : -k] * a**k
         grams.append(g)
-    node_code = [np.zeros(1, np.int64)]  # by order: kept context codes, sorted
-    base = [0]
     rows: list[np.ndarray] = []
     parent_cost = np.full((1, a, len(texts)), np.log2(a), np.float32)
     lookup = np.zeros(1, np.int64)
     for order in range(ORDER + 1):
         per = [np.unique(g % a ** (order + 1), return_counts=True) for g in grams]
-        total = np.bincount(np.concatenate([u // a for u, _ in per]), np.concatenate([n for _, n in per]), a**order) if order < 3 or a**order < 1 << 24 else None
+        total = np.bincount(np.concatenate([u // a for u, _ in per]), np.concatenate([n for _, n in per]), a**order)
         keep = np.flatnonzero(total >= (MIN_CONTEXT if order else 0))
         if order and len(keep) > MAX_CONTEXTS:
             keep = np.sort(keep[np.argsort(-total[keep], kind="stable")[:MAX_CONTEXTS]])
@@ -135,7 +137,7 @@ def _tables(texts: list[np.ndarray], a: int) -> tuple[np.ndarray, np.ndarray, in
             ok = (at < len(keep)) & (keep[np.minimum(at, len(keep) - 1)] == u // a) if len(keep) else np.zeros(len(u), bool)
             count[at[ok], u[ok] % a, j] = n[ok]
         n, d = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True).astype(np.float32)
-        up = parent_cost if not order else rows[0][lookup[keep % a ** (order - 1)]] if order == 1 else np.concatenate(rows)[lookup[keep % a ** (order - 1)]]
+        up = np.concatenate(rows)[lookup[keep % a ** (order - 1)]] if order else parent_cost
         with np.errstate(divide="ignore", invalid="ignore"):
             cost = np.where(count > 0, np.log2((n + d) / count), np.log2((n + d) / d) + up)
         cost = np.where(n > 0, cost, up).astype(np.float32)
