@@ -123,3 +123,14 @@ def by_value(counts: DataFrame, op: str, keys: list[str], alias: str) -> DataFra
     run = counts.withColumn("__c", F.sum("__n").over(w.orderBy(F.col("__v").asc_nulls_first()))).withColumn("__t", F.sum("__n").over(w))
     hit = run.where((F.col("__c") > F.floor(F.col("__t") / 2)) & (F.col("__c") - F.col("__n") <= F.floor(F.col("__t") / 2)))
     return hit.select(*keys, F.col("__v").alias(alias))
+
+
+def custom(df: DataFrame, keys: list[str], column: str, reduce_values: Callable, kind: str = "double", alias: str = "x") -> DataFrame:
+    """A user's aggregate over a Series of a group's values, in Arrow batches; a group must fit in memory."""
+    import pandas as pd
+
+    def f(v: pd.Series) -> float:
+        return reduce_values(v)
+
+    f.__annotations__ = {"v": pd.Series, "return": float}
+    return df.groupBy(*keys).agg(F.pandas_udf(f, kind)(F.col(column)).alias(alias))

@@ -71,3 +71,9 @@ def parent_tree(df: DataFrame, key: str, parent: str, depth: int = 4) -> DataFra
     for _ in range(depth - 1):
         out = out.join(up, F.col("__p") == F.col("__uk"), "left").select("__k", F.col("__up").alias("__p"), F.when(F.col("__uk").isNotNull(), F.concat(F.array("__uk"), "path")).otherwise(F.col("path")).alias("path"))
     return out.select(F.col("__k").alias(key), "path", F.size("path").alias("depth"))
+
+
+def water_marks(old: DataFrame | None, new: DataFrame, group: str, value: str) -> DataFrame:
+    """The highest and lowest value that each group has ever had: folded over batches, so that a removal lowers nothing."""
+    now = new.groupBy(group).agg(F.max(value).alias("high"), F.min(value).alias("low"))
+    return now if old is None else old.unionByName(now).groupBy(group).agg(F.max("high").alias("high"), F.min("low").alias("low"))

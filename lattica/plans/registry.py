@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PERCENT, Agg, Filter, Having, Limit, Pivot, ViewConfig
-from ..functions import computed, levels
+from ..functions import aggregates, computed, levels
 from ..functions.levels import Bins
 from ..operators import search, updates
 from ..operators.filters import GroupFilter
@@ -361,6 +361,9 @@ def _pandas_udf(s: SparkSession, d: str) -> DataFrame:
 
 add("computed_udf", _pandas_udf, "SELECT event_id, round(value * 1.5 + 2, 4) AS x FROM events")
 
+add("water_marks", lambda s, d: rounded(updates.water_marks(updates.water_marks(None, _old(s, d), "event_type", "value"), _new(s, d), "event_type", "value"), 4), "SELECT event_type, round(max(value), 4) AS high, round(min(value), 4) AS low FROM events GROUP BY 1")
+add("agg_custom_function", lambda s, d: rounded(aggregates.custom(t(s, d, "events"), ["event_type"], "value", lambda v: float(v.max() - v.min())), 4), "SELECT event_type, round(max(value) - min(value), 4) AS x FROM events GROUP BY 1")
+
 # --- sources ------------------------------------------------------------------------------------------------
 add("source_rows", lambda s, d: build.frame(s, [{"x": 1, "y": "a"}, {"x": 2, "y": "b"}, {"x": None, "y": "c"}]), "SELECT * FROM (VALUES (1::BIGINT, 'a'), (2, 'b'), (NULL, 'c')) v(x, y)")
 add("source_columns", lambda s, d: build.frame(s, {"x": [1.5, 2.5], "y": ["a", "b"]}), "SELECT * FROM (VALUES (1.5::DOUBLE, 'a'), (2.5, 'b')) v(x, y)")
@@ -373,7 +376,7 @@ def _arrow(s: SparkSession, d: str) -> DataFrame:
     return build.frame(s, pa.table({"i": pa.array([1, 2, None], pa.int16()), "f": pa.array([0.5, None, 2.5], pa.float32()), "w": pa.array(["a", "b", "a"]).dictionary_encode()}))
 
 
-add("source_arrow", _arrow, "SELECT * FROM (VALUES (1::SMALLINT, 0.5::DOUBLE, 'a'), (2, NULL, 'b'), (NULL, 2.5, 'a')) v(i, f, w)")
+add("source_arrow", _arrow, "SELECT i::SMALLINT AS i, f, w FROM (VALUES (1::SMALLINT, 0.5::DOUBLE, 'a'), (2, NULL, 'b'), (NULL, 2.5, 'a')) v(i, f, w)")
 _CSV = b"# notes\nid;name;when;ok;list;amount\n1;a;2020-01-02;yes;<1, 2>;1.5\n2;b;2020-02-03;no;< >;oops\n3;NULL;2020-03-04;yes;<3>;\n"
 
 
@@ -389,4 +392,4 @@ def _csv(s: SparkSession, d: str) -> DataFrame:
 
 add("ingest_typed", _csv, "SELECT * FROM (VALUES (1::BIGINT, 'a', '2020-01-02', TRUE, '1,2', 1.5::DOUBLE, ''), (2, 'b', '2020-02-03', FALSE, '', NULL, 'amount'), (3, NULL, '2020-03-04', TRUE, '3', NULL, '')) v(id, name, \"when\", ok, list, amount, error)")
 add("row_numbers", lambda s, d: ingest.numbered(t(s, d, "nation").select("n_name"), ["n_name"]), "SELECT n_name, CAST(row_number() OVER (ORDER BY n_name) AS INTEGER) AS __rownum__ FROM nation")
-add("narrowed_integers", lambda s, d: ingest.narrowed(t(s, d, "supplier").select("s_suppkey")), "SELECT CAST(s_suppkey AS SMALLINT) AS s_suppkey FROM supplier")
+add("narrowed_integers", lambda s, d: ingest.narrowed(t(s, d, "supplier").select("s_suppkey")), "SELECT CAST(s_suppkey AS TINYINT) AS s_suppkey FROM supplier")

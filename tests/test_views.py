@@ -105,3 +105,19 @@ def test_computed_and_udf(spark):
     t = table(spark, DATA).add_computed(w='"x" * 2 + 1', u=lambda df: df.x + 100)
     assert t.schema()["w"] == "float" and [r["w"] for r in t.view(columns=["w"], sort=[("x", "asc")]).to_json()] == [3.0, 5.0, 7.0, 9.0]
     assert table(spark, DATA).computed_schema(k='length("y")') == {"k": "integer"} and "sqrt" in t.get_computed_functions()
+
+
+def test_cancel_and_progress(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from lattica.plans.jobs import Run
+
+    assert Run(spark, lambda: spark.range(1000).count()).wait(60) == 1000
+    slow = Run(spark, lambda: spark.range(0, 10**13, 1, 4).select(F.sum(F.sqrt("id"))).collect())
+    time.sleep(3)
+    assert slow.progress() < 1
+    slow.cancel()
+    with pytest.raises(Exception, match="(?i)cancel"):
+        slow.wait(60)
