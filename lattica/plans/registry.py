@@ -193,9 +193,9 @@ _agg("sum_not_null", Agg("sum not null", "qty"), "CAST(sum(qty) AS BIGINT)")
 _agg("identity", Agg("identity", "l_linestatus"), "min(l_linestatus)")
 _values = QUERIES["agg_distinct_values"]
 QUERIES["agg_distinct_values"] = lambda s, d: _values(s, d).withColumn("x", F.array_join("x", ","))
-for _n, _c in (("mul", F.lit(1) + F.col("l_tax") / 1e6), ("sum_abs", F.col("l_quantity") - 25)):
+for _n, _c in (("mul", "1 + l_tax / 1e6"), ("sum_abs", "l_quantity - 25")):
     _a = Agg(_n.replace("_", " "), "v")
-    QUERIES[f"agg_{_n}"] = lambda s, d, a=_a, c=_c, k=4 if _n == "mul" else 2: rounded(view.one_sided(t(s, d, "lineitem").withColumn("v", c), ViewConfig(row_pivots=_FLAGGED, aggregates={"x": a})), k)
+    QUERIES[f"agg_{_n}"] = lambda s, d, a=_a, c=_c, k=4 if _n == "mul" else 2: rounded(view.one_sided(t(s, d, "lineitem").withColumn("v", F.expr(c)), ViewConfig(row_pivots=_FLAGGED, aggregates={"x": a})), k)
 # the mode of a group, ties to the smallest; a group of lone values with a null has null
 _DOM = f"WITH c AS (SELECT l_returnflag, l_linestatus, mode, grouping(l_returnflag) AS g1, grouping(l_linestatus) AS g2, count(*) AS n FROM {_LINES} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus, mode), (l_returnflag, mode), (mode))) SELECT l_returnflag, l_linestatus, CAST(2 - g1 - g2 AS INTEGER) AS level, mode AS x FROM c QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_linestatus, g1, g2 ORDER BY CASE WHEN mode IS NULL THEN 1 ELSE n END DESC, mode NULLS FIRST) = 1"
 add("agg_dominant", lambda s, d: view.one_sided(_lines(t(s, d, "lineitem")), ViewConfig(row_pivots=_FLAGGED, aggregates={"x": Agg("dominant", "mode")})), _DOM)

@@ -121,3 +121,14 @@ def test_cancel_and_progress(spark):
     slow.cancel()
     with pytest.raises(Exception, match="(?i)cancel"):
         slow.wait(60)
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    import __spark_entry__
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(set(e.oracle_sql()) - set(e.queries())))"], cwd=__spark_entry__.__file__.rsplit("/", 1)[0], capture_output=True, text=True)
+    n, odd = map(int, said.stdout.split())
+    assert n > 200 and odd == 0
