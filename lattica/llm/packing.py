@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -38,7 +39,11 @@ from .common import as_bytes, cut, small_batches
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-MAX_WORDS = 300_000
+MAX_WORDS = 600_000
+WORD_END = "</w>"
+#: The tokenizer's own parts of a word; it lowers case, so that A-Z can be lowered before.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.I)
+_LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 GROUP_BYTES = 2_000_000
 
 Pattern = tuple[int, list[tuple[int, int]]]  # how many sequences; lengths with their counts in each
@@ -49,6 +54,7 @@ class WordTokenizer:
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are its words' ids in order. Words are kept with their ids until there are too many.
+    Texts that may hold a special token's string keep their case, which it depends on.
     """
 
     def __init__(self, name: str = TOKENIZER):
@@ -57,6 +63,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        vocab = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.is_end[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -66,15 +75,31 @@ class WordTokenizer:
         self.ids: np.ndarray = np.zeros(0, np.uint32)
 
     def _learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        lens = np.fromiter(map(len, found), np.int64, len(found))
+        """Most words are encoded many at a time, as one text, whose ids are cut where its parts end."""
+        texts = [w.decode() for w in words]
+        parts = np.fromiter((1 if t.isalpha() else len(_PARTS.findall(t)) if t.isascii() and "<|" not in t else 0 for t in texts), np.int64, len(texts))
+        plain = np.flatnonzero(parts)
+        lens = np.zeros(len(words), np.int64)
+        ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in plain.tolist()]), add_special_tokens=False).ids, np.int64)
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) == parts.sum():
+            ends = ends[np.cumsum(parts[plain]) - 1] if len(plain) else ends
+            lens[plain] = np.diff(ends, prepend=0)
+            rest = np.flatnonzero(parts == 0)
+        else:
+            ids, plain, rest = np.zeros(0, np.int64), plain[:0], np.arange(len(words))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in rest.tolist()], add_special_tokens=False)]
+        lens[rest] = np.fromiter(map(len, found), np.int64, len(found))
+        order = np.concatenate((plain, rest))  # in which the ids stand
+        starts = np.empty(len(words), np.int64)
+        starts[order] = len(self.ids) + np.cumsum(lens[order]) - lens[order]
         self.at.update(zip(words, range(len(self.lens), len(self.lens) + len(words)), strict=True))
-        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lens) - lens))
+        self.starts = np.concatenate((self.starts, starts))
         self.lens = np.concatenate((self.lens, lens))
-        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(lens.sum()))))
+        self.ids = np.concatenate((self.ids, ids.astype(np.uint32), np.fromiter(chain.from_iterable(found), np.uint32, int(lens[rest].sum()))))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
+        words = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in texts]
         flat = list(chain.from_iterable(words))
         new = [w for w in dict.fromkeys(flat) if w not in self.at]
         if new and len(self.at) + len(new) > MAX_WORDS:
