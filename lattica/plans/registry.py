@@ -154,8 +154,8 @@ add("selection_summary", lambda s, d: rounded(view.summary(t(s, d, "customer"),
 _LEVEL = "CAST(2 - grouping(l_returnflag) - grouping(l_linestatus) AS INTEGER) AS level"
 _ROLL = "FROM {} GROUP BY ROLLUP (l_returnflag, l_linestatus)"
 _FLAGGED = ("l_returnflag", "l_linestatus")
-_lines = lambda d: d.withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("qty", F.when(F.col("l_linenumber") != 3, F.col("l_quantity").cast("long"))).withColumn("mode", F.when(F.col("l_linenumber") != 3, (F.col("l_partkey") % 7).cast("long"))).withColumn("odd", F.col("l_linenumber") > 1)
-_LINES = "(SELECT *, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber <> 3 THEN CAST(l_quantity AS BIGINT) END AS qty, CASE WHEN l_linenumber <> 3 THEN CAST(l_partkey % 7 AS BIGINT) END AS mode, l_linenumber > 1 AS odd FROM lineitem)"
+_lines = lambda d: d.withColumn("id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).withColumn("qty", F.when(F.col("l_linenumber") != 3, F.col("l_quantity").cast("long"))).withColumn("mode", F.when(F.col("l_linenumber") != 3, (F.col("l_partkey") % 7).cast("long"))).withColumn("odd", F.col("l_linenumber") > 1)
+_LINES = "(SELECT *, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS id, CASE WHEN l_linenumber <> 3 THEN CAST(l_quantity AS BIGINT) END AS qty, CASE WHEN l_linenumber <> 3 THEN CAST(l_partkey % 7 AS BIGINT) END AS mode, l_linenumber > 1 AS odd FROM lineitem)"
 
 
 def _agg(name: str, a: Agg, sql: str, cast: str | None = None, digits: int = 2) -> None:
