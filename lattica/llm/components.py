@@ -38,15 +38,19 @@ def _digest(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first())
 
 
-def blocked(df: DataFrame, keys: list[str], member: str, limit: int) -> DataFrame:
+def blocked(df: DataFrame, keys: list[str], member: str, limit: int, no_single: bool = False) -> DataFrame:
     """Rows of keys with two members at least, with columns ``own``, ``lo``, ``hi``.
 
     A key of up to ``limit`` members is one block pair (0, 0). A larger one is split
     into blocks of about that size by a hash of the member, and each row goes to all
     block pairs with its block, so that every two members meet in exactly one of
     them if in different blocks; within a block they meet in (own, own).
+    no_single: every key is known to have two members, so that no join is needed where all fit one block.
     """
-    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumn("__b", F.ceil(F.col("__n") / limit).cast("int")).drop("__n")
+    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    if no_single and size.where(F.col("__n") > limit).isEmpty():
+        return df.withColumns({"own": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)})
+    size = size.where("__n > 1").withColumn("__b", F.ceil(F.col("__n") / limit).cast("int")).drop("__n")
     d = df.join(size, keys).withColumn("own", F.pmod(F.xxhash64(F.lit(11), member), F.col("__b")).cast("int"))
     return d.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1))).withColumn("lo", F.least("own", "__o")).withColumn("hi", F.greatest("own", "__o")).drop("__o", "__b")
 

@@ -38,10 +38,12 @@ from .components import blocked, components, each_group
 
 SHINGLE = 4
 PERCENT = 85
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 16_000
 SAMPLE_SHINGLES = 4096
 MOST_COMMON = 500_000
 LIST_BLOCK = 2048
+#: So many ids are broadcast at most; more are joined by a shuffle of the texts.
+BROADCAST_IDS = 1_000_000
 FOLD = fold_ascii()
 WORD = np.ones(256, bool)
 WORD[[32, *range(9, 14)]] = False
@@ -83,8 +85,8 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(n: np.ndarray) -> np.ndarray:
-    """A power of two, four times the set at least."""
-    return 1 << np.maximum(7, np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64))
+    """A power of two, the set's size at least."""
+    return 1 << np.maximum(7, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
 
 
 def _sets(batches: Iterator[pa.Array], limit: int | None = None) -> Iterator[pa.Array]:
@@ -168,9 +170,9 @@ class _List:
         key = t["prefix_key"].to_numpy()
         o = np.lexsort((key, n))
         self.n, self.key, self.ids, self.own = n[o], key[o], t["id"].to_numpy()[o], t["own"].to_numpy()[o]
-        self.component = t["component"].to_numpy()[o]
+        self.component = t["component"].to_numpy()[o] if "component" in t.column_names else None
         self.lo, self.hi, self.name = t["lo"][0].as_py(), t["hi"][0].as_py(), t["list"][0].as_py()
-        self.order, self.lists = o, t["lists"]
+        self.order, self.lists = o, t["lists"] if "lists" in t.column_names else None
         self.bits = sketch_bits(self.n)
         sketches = t["sketch"].to_pylist()
         self.level: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -270,32 +272,40 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     base = cut(docs.select("id", _describe(shared)("text").alias("d")).select("id", "d.*"))
     full = base.where("n > 0")
     classes = full.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    rep = full.join(classes.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"])
+    rep = cut(full.join(classes.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").select("id", "n", "prefix_key", "prefix", "sketch"))
+    named = cut(full.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"]).select("id", "n", "rep"))
+    without = cut(base.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    del base, full, classes
+    release(spark)
 
     same = Window.partitionBy("shingle")
     seed = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "id")).over(same)
     posted = rep.select("id", F.explode("prefix").alias("shingle")).select("id", F.count(F.lit(1)).over(same).alias("c"), seed(1).alias("x1"), seed(2).alias("x2")).where("c > 1")
     lists = cut(posted.select("id", F.xxhash64("c", "x1", "x2").alias("list")).distinct())
+    del posted
     release(spark)
     member = cut(rep.select("id", "n", "prefix_key", "sketch").join(lists.groupBy("id").agg(F.array_sort(F.collect_list("list")).alias("lists")), "id"))
 
-    def rounds(m: DataFrame, work) -> DataFrame:
-        rows = blocked(m.withColumn("list", F.explode("lists")), ["list"], "id", LIST_BLOCK)
-        return cut(each_group(rows.select("list", "lo", "hi", "own", "id", "n", "prefix_key", "component", "sketch", "lists"), ["list", "lo", "hi"], work, "a long, b long"))
+    del rep
+    release(spark)
+
+    def rounds(m: DataFrame, work, *more: str) -> DataFrame:
+        rows = blocked(m.withColumn("list", F.explode("lists")), ["list"], "id", LIST_BLOCK, no_single=True)
+        return cut(each_group(rows.select("list", "lo", "hi", "own", "id", "n", "prefix_key", "sketch", *more), ["list", "lo", "hi"], work, "a long, b long"))
 
-    first = rounds(member.withColumn("component", F.col("id")), _likeliest)
+    first = rounds(member, _likeliest)
     wanted = first.where("b is null").select(F.col("a").alias("id")).distinct()
-    sets = cut(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", arrow_udf(_whole_set, "array<long>")("text").alias("s")))
+    few = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda d: d
+    sets = cut(docs.join(few(wanted), "id", "left_semi").dropDuplicates(["id"]).select("id", arrow_udf(_whole_set, "array<long>")("text").alias("s")))
     release(spark)
     links = _verified(first.where("b is not null"), sets)
     comp = components(links)
-    rest = rounds(member.join(wanted, "id", "left_semi").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), _remaining)
+    rest = rounds(member.join(wanted, "id", "left_semi").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), _remaining, "component", "lists")
     links = links.union(_verified(rest, sets))
     comp = components(links).withColumnRenamed("id", "rep")
     release(spark)
 
-    named = full.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"]).join(comp, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
-    out = named.union(base.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    out = named.join(comp, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component")).union(without)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
