@@ -11,17 +11,23 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: So few links are followed by union-find in one task (16 bytes each); more by rounds over the cluster.
+FEW_LINKS = 500_000
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable, for every id in a link.
 
-    Alternates the large-star and small-star steps, which keep components and turn
-    each into one star around its smallest id. Each step is written to the shared
+    Up to FEW_LINKS links are followed in one task. More are taken through the
+    large-star and small-star steps, which keep components and turn each into one
+    star around its smallest id. Each step is written to the shared
     checkpoint folder. Links of an id with itself, repeated and reversed links are fine.
     """
     e = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = _digest(e)
-    while before[0]:
+    if before[0] <= FEW_LINKS:
+        return e.coalesce(1).mapInArrow(_follow, "id long, component long")
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         e = both.join(low.select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -34,6 +40,25 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (j := up.setdefault(i, i)) != i:
+            up[i] = up.setdefault(j, j)
+            i = up[i]
+        return i
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = top(u), top(v)
+            up[max(x, y)] = min(x, y)
+    ids = list(up)
+    for k in range(0, len(ids), 10_000):
+        part = ids[k : k + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(i) for i in part], pa.int64())], names=["id", "component"])
+
+
 def _digest(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first())
 

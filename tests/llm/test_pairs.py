@@ -33,9 +33,12 @@ def test_components(spark):
     links = [(rng.randint(1, 300), rng.randint(1, 300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5)]
     df = spark.createDataFrame(links, "a long, b long")
     want = groups({x for p in links for x in p}, links)
-    got = {r["id"]: r["component"] for r in C.components(df).collect()}
-    assert got == {k: v for k, v in want.items() if any(k in p and p[0] != p[1] for p in links)}
-    assert C.components(df.limit(0)).count() == 0
+    for few in (C.FEW_LINKS, 0):
+        old, C.FEW_LINKS = C.FEW_LINKS, few
+        got = {r["id"]: r["component"] for r in C.components(df).collect()}
+        assert got == {k: v for k, v in want.items() if any(k in p and p[0] != p[1] for p in links)}
+        assert C.components(df.limit(0)).count() == 0
+        C.FEW_LINKS = old
 
 
 def test_blocks_meet_once(spark):
