@@ -21,6 +21,7 @@ gathered in one task.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -42,7 +43,9 @@ END_ID = 1
 MAX_WORDS = 600_000
 WORD_END = "</w>"
 #: The tokenizer's own parts of a word; it lowers case, so that A-Z can be lowered before.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.I)
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+", re.I)
+#: The letters that stand for the bytes 127 to 160 and 173 in byte-level tokenizers.
+_BYTE_LETTERS = {b: 289 + k for k, b in enumerate([*range(127, 161), 173])}
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 GROUP_BYTES = 2_000_000
 
@@ -66,6 +69,12 @@ class WordTokenizer:
         vocab = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocab.values()) + 1, bool)
         self.is_end[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+        # the same model without normalizer, for words that are prepared here
+        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
+        probe = ["plain", "été", "größe", "niño", "øre", "ćwiek"]
+        if self._bare(probe).tolist() != self.tokenizer.encode(" ".join(probe), add_special_tokens=False).ids:
+            raise ValueError(f"{name} is not a tokenizer of lower-cased words")
         self._clear()
 
     def _clear(self) -> None:
@@ -74,29 +83,42 @@ class WordTokenizer:
         self.lens: np.ndarray = np.zeros(0, np.int64)
         self.ids: np.ndarray = np.zeros(0, np.uint32)
 
+    def _bare(self, words: list[str]) -> np.ndarray:
+        """Ids of words of letters up to U+02FF, where lower case and composition are a matter of single characters."""
+        text = " ".join(words).lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+
+    def _many(self, words: list[str]) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+
     def _learn(self, words: list[bytes]) -> None:
-        """Most words are encoded many at a time, as one text, whose ids are cut where its parts end."""
+        """Words of letters up to U+02FF are encoded many at a time as one text, whose ids are cut where words end.
+
+        U+0130 is left out: in lower case it has a mark that splits the word.
+        """
         texts = [w.decode() for w in words]
-        parts = np.fromiter((1 if t.isalpha() else len(_PARTS.findall(t)) if t.isascii() and "<|" not in t else 0 for t in texts), np.int64, len(texts))
-        plain = np.flatnonzero(parts)
+        simple = np.fromiter((t.isalpha() and max(t) < "\u0300" and "\u0130" not in t for t in texts), bool, len(texts))
+        # others in parts by the whole tokenizer, ASCII ones many at a time as well
+        parts = np.fromiter((len(_PARTS.findall(t)) if not k and t.isascii() and t.isprintable() and "<|" not in t else 0 for k, t in zip(simple.tolist(), texts, strict=True)), np.int64, len(texts))
+        plain, ascii_, odd = np.flatnonzero(simple), np.flatnonzero(parts), np.flatnonzero(~simple & (parts == 0))
+        ids, more = self._bare([texts[i] for i in plain.tolist()]), self._many([texts[i] for i in ascii_.tolist()])
+        ends, part_ends = np.flatnonzero(self.is_end[ids]) + 1, np.flatnonzero(self.is_end[more]) + 1
+        if len(ends) != len(plain) or len(part_ends) != parts.sum():  # not as foreseen: word by word
+            plain, ascii_, odd = plain[:0], ascii_[:0], np.arange(len(words))
+            ids, more, ends, part_ends = ids[:0], more[:0], ends[:0], part_ends[:0]
         lens = np.zeros(len(words), np.int64)
-        ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in plain.tolist()]), add_special_tokens=False).ids, np.int64)
-        ends = np.flatnonzero(self.is_end[ids]) + 1
-        if len(ends) == parts.sum():
-            ends = ends[np.cumsum(parts[plain]) - 1] if len(plain) else ends
-            lens[plain] = np.diff(ends, prepend=0)
-            rest = np.flatnonzero(parts == 0)
-        else:
-            ids, plain, rest = np.zeros(0, np.int64), plain[:0], np.arange(len(words))
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in rest.tolist()], add_special_tokens=False)]
-        lens[rest] = np.fromiter(map(len, found), np.int64, len(found))
+        lens[plain] = np.diff(ends, prepend=0)
+        lens[ascii_] = np.diff(part_ends[np.cumsum(parts[ascii_]) - 1] if len(ascii_) else part_ends, prepend=0)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in odd.tolist()], add_special_tokens=False)]
+        lens[odd] = np.fromiter(map(len, found), np.int64, len(found))
+        rest = np.concatenate((ascii_, odd))
         order = np.concatenate((plain, rest))  # in which the ids stand
         starts = np.empty(len(words), np.int64)
         starts[order] = len(self.ids) + np.cumsum(lens[order]) - lens[order]
         self.at.update(zip(words, range(len(self.lens), len(self.lens) + len(words)), strict=True))
         self.starts = np.concatenate((self.starts, starts))
         self.lens = np.concatenate((self.lens, lens))
-        self.ids = np.concatenate((self.ids, ids.astype(np.uint32), np.fromiter(chain.from_iterable(found), np.uint32, int(lens[rest].sum()))))
+        self.ids = np.concatenate((self.ids, ids.astype(np.uint32), more.astype(np.uint32), np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         words = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in texts]
