@@ -7,15 +7,17 @@ loops over words. A chunk holds at most ``CHUNK_BYTES`` bytes or one document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
-ROWS_PER_BATCH = 1000
+CHUNK_BYTES = 1 << 19
+ROWS_PER_BATCH = 500
 
 _RNG = np.random.default_rng(20240229)
 #: A random 64-bit value for each byte.
@@ -60,6 +62,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, for a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(run: Callable) -> Callable:
+    """A task's function over batches that leaves no memory behind."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return wrapped
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(m)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 #: So few links are followed by union-find in one task (16 bytes each); more by rounds over the cluster.
 FEW_LINKS = 500_000
@@ -96,7 +96,7 @@ def each_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Rec
         if held is not None and held.num_rows and (out := work(held)) is not None:
             yield out
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)
 
 
 def _cuts(t: pa.Table, keys: list[str]) -> list[int]:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Chunk, chunks, mix, small_batches
+from .common import Chunk, chunks, mix, small_batches, tidy
 from .license_scan import WORDS
 
 EDIT_SHARE = 0.15
@@ -225,12 +225,12 @@ def _matcher(items: list[tuple[int, str]]):
         for arr in batches:
             out: list = [[] for _ in range(len(arr))]
             if index.ids:
-                for c in chunks(arr, WORDS_FOLD, 4 << 20):
+                for c in chunks(arr, WORDS_FOLD, 1 << 20):
                     for d, item, cost, begin in index.search(c):
                         out[int(c.rows[d])].append({"item_id": index.ids[item], "distance": cost, "n_words": len(index.words[item]), "first_word": begin})
             yield pa.array(out, kind)
 
-    return arrow_udf(run, SCHEMA)
+    return arrow_udf(tidy(run), SCHEMA)
 
 
 def leaks(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "leaks") -> DataFrame:

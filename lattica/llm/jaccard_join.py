@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Chunk, bounded_ids, chunks, cut, fold_ascii, ids_frame, mix, release, small_batches
+from .common import Chunk, bounded_ids, chunks, cut, fold_ascii, ids_frame, mix, release, small_batches, tidy
 from .components import blocked, components, each_group
 
 SHINGLE = 4
@@ -111,7 +111,7 @@ def _whole_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that occur in two sampled sets at least, sorted, and in how many."""
     ids = bounded_ids(docs, "id", SAMPLE_DOCS, "jaccard")
-    some = docs.join(F.broadcast(ids_frame(docs.sparkSession, ids, "id")), "id").select(arrow_udf(_some_of_set, "array<long>")("text").alias("s")).distinct()
+    some = docs.join(F.broadcast(ids_frame(docs.sparkSession, ids, "id")), "id").select(arrow_udf(tidy(_some_of_set), "array<long>")("text").alias("s")).distinct()
     rows = some.select(F.explode("s").alias("s")).groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(MOST_COMMON).toArrow()
     h, n = rows["s"].to_numpy().view(np.uint64), rows["count"].to_numpy()
     o = np.argsort(h)
@@ -152,7 +152,7 @@ def _describe(common):
                 names=["n", "h1", "h2", "prefix_key", "prefix", "sketch"],
             )
 
-    return arrow_udf(run, kind)
+    return arrow_udf(tidy(run), kind)
 
 
 def may_link(n_a, n_b, differing):
@@ -296,7 +296,7 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     first = rounds(member, _likeliest)
     wanted = first.where("b is null").select(F.col("a").alias("id")).distinct()
     few = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda d: d
-    sets = cut(docs.join(few(wanted), "id", "left_semi").dropDuplicates(["id"]).select("id", arrow_udf(_whole_set, "array<long>")("text").alias("s")))
+    sets = cut(docs.join(few(wanted), "id", "left_semi").dropDuplicates(["id"]).select("id", arrow_udf(tidy(_whole_set), "array<long>")("text").alias("s")))
     release(spark)
     links = _verified(first.where("b is not null"), sets)
     comp = components(links)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import chunks, crc_mod, small_batches, struct
+from .common import chunks, crc_mod, small_batches, struct, tidy
 
 ORDER = 3
 MIN_CONTEXT = 6
@@ -177,9 +177,6 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     return Model.train(bounded)
 
 
-_cached: dict[int, Model] = {}
-
-
 def predict(df: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
     """Add the struct column ``into``: lang, score (posterior of lang under equal priors), bits_per_byte.
 
@@ -191,11 +188,9 @@ def predict(df: DataFrame, model: Model, text: str = "text", into: str = "langua
     shared = df.sparkSession.sparkContext.broadcast(model.to_bytes())
 
     @arrow_udf(SCHEMA)
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if shared.value is not None and id(shared.value) not in _cached:
-            _cached.clear()
-            _cached[id(shared.value)] = Model.from_bytes(shared.value)
-        m = _cached[id(shared.value)]
+        m = Model.from_bytes(shared.value)
         for arr in batches:
             n = len(arr)
             lang = [UNDETERMINED] * n

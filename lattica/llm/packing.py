@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import as_bytes, cut, small_batches
+from .common import as_bytes, cut, small_batches, tidy
 
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-MAX_WORDS = 600_000
+MAX_WORDS = 400_000
 WORD_END = "</w>"
 #: The tokenizer's own parts of a word; it lowers case, so that A-Z can be lowered before.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+", re.I)
@@ -183,8 +183,9 @@ def pieces(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
                         seen[len(part)] += 1
                     at += 1
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([chunk] * len(row), pa.int32()), pa.array(place, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "place"])
+        tok._clear()
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, place long")
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, place long")
 
 
 def reduce_dominated(n: np.ndarray, capacity: int) -> list[Pattern]:

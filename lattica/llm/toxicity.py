@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Chunk, bounded_ids, chunks, crc_mod, fold_ascii, ids_frame, mix, small_batches
+from .common import Chunk, bounded_ids, chunks, crc_mod, fold_ascii, ids_frame, mix, small_batches, tidy
 
 BITS = 18
 MAX_POSITIVE = 3000
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_row: Column, text: str = "text
     u = bounded_ids(docs.where(train_row), key, MAX_UNLABELLED, "pu-unlabelled")
     spark = docs.sparkSession
     want = ids_frame(spark, sorted({*p, *u}), "__id")
-    got = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(want), "__id").select("__id", arrow_udf(_features, "array<int>")("__text").alias("__f"))
+    got = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(want), "__id").select("__id", arrow_udf(tidy(_features), "array<int>")("__text").alias("__f"))
     feats: dict[int, np.ndarray] = {r["__id"]: np.array(r["__f"], np.int64) for r in got.toLocalIterator()}
     return train([feats[i] for i in p if i in feats], [feats[i] for i in u if i in feats], float(prior))
 
@@ -183,6 +183,7 @@ def score(df: DataFrame, model: Model, text: str = "text", into: str = "toxicity
     shared = df.sparkSession.sparkContext.broadcast(model.to_bytes())
 
     @arrow_udf("double")
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = Model.from_bytes(shared.value)
         for arr in batches:
