@@ -12,7 +12,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,13 +23,20 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import small_batches, struct
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']+|\"[^\"]{0,4000}\"|'[^']{0,4000}'|[\"']){0,200}+)>|<[!?][^>]*>|[^<]+|<", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: One attribute; a quoted value only begins. Quotes elsewhere are plain characters, as in browsers.
+_ATTR = re.compile(r"[\s/]*+(?:(?P<name>=[^\s/<>=]*+|[^\s/<>=]++)(?:\s*+=\s*+(?:(?P<quote>[\"'])|[^\s<>]*+))?+)?+")
+_TELLS = re.compile(r"\b(?:class|id|role|aria-label|itemprop|style|hidden)\Z", re.I)
+_SCRIPT = re.compile(r"<!--|-->|<(?P<close>/?)script(?=[\s/>])", re.I)
 _HINT_ATTR = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until-found))|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 #: Elements whose content is never text of the page.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select", "button", "canvas", "title", "xmp", "noembed", "noframes"}
+#: Of these, the ones that hold characters only: nothing but their own close tag ends them.
+RAW_TEXT = {"script", "style", "noscript", "textarea", "iframe", "title", "xmp", "noembed", "noframes"}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW_TEXT}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"html", "head", "body", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "legend", "optgroup", "option", "label"}
 #: What opens inside a paragraph and so ends it.
@@ -89,23 +96,119 @@ def _own(tag: str, attrs: str, inside_content: bool) -> float | None:
     return None if not said else min(said) if min(said) < 0 else max(said)
 
 
+def _read_tag(page: str, at: int, dead: set[int]) -> tuple[int, str] | None:
+    """Where a tag ends whose name ends at ``at``, and its attributes; None if a ``<`` or the end comes first.
+
+    Quoted values of attributes that say nothing are left out. dead: places after
+    quoted values that lead to no end, so that no stretch is read again and again.
+    """
+    said, seen = [], []
+    while True:
+        m = _ATTR.match(page, at)
+        end = m.end()
+        if not m["quote"]:
+            said.append(m[0])
+            if page[end : end + 1] == ">":
+                return end + 1, "".join(said)
+            if end > at and page[end : end + 1] not in ("<", ""):
+                at = end
+                continue
+            break
+        close = page.find(m["quote"], end)
+        if close < 0:
+            break
+        said.append(m[0] + (page[end:close] if _TELLS.search(m["name"]) else "") + m["quote"])
+        at = close + 1
+        if at in dead:
+            break
+        seen.append(at)
+    dead.update(seen)
+    return None
+
+
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Where the close tag of an element of characters begins, or the page ends."""
+    if tag != "script":
+        m = _RAW_END[tag].search(page, at)
+        return m.start() if m else len(page)
+    depth = 0  # 1: after <!--, 2: and in a script of its own there
+    while m := _SCRIPT.search(page, at):
+        at = m.end()
+        if m[0] == "<!--":
+            if not depth:
+                depth, at = 1, at - 2
+        elif m[0] == "-->":
+            depth = 0
+        elif m["close"]:
+            if depth < 2:
+                return m.start()
+            depth = 1
+        elif depth:
+            depth = 2
+    return len(page)
+
+
+def _tokens(page: str) -> Iterator[tuple[str, bool, str]]:
+    """Tags as (name, whether it closes, attributes) and text as ("", False, text), without comments; in linear time."""
+    at, n = 0, len(page)
+    dead: set[int] = set()
+    ends = page.rfind(">")
+    foreign = ""
+    while at < n:
+        if page[at] != "<":
+            lt = page.find("<", at)
+            lt = n if lt < 0 else lt
+            yield "", False, page[at:lt]
+            at = lt
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = n if end < 0 else end + 3
+            continue
+        m = _TAG.match(page, at)
+        if m:
+            read = _read_tag(page, m.end(), dead)
+            if read:
+                at, attrs = read
+                tag = m[2].lower()
+                yield tag, m[1] == "/", attrs
+                if tag in ("svg", "math") and not foreign:
+                    foreign = "" if m[1] or attrs.endswith("/") else tag
+                elif m[1] and tag == foreign:
+                    foreign = ""
+                elif tag in RAW_TEXT and not m[1] and not foreign:
+                    at = _raw_end(page, tag, at)
+                continue
+        elif page[at + 1 : at + 2] in ("!", "?") and at < ends:
+            at = page.find(">", at) + 1
+            continue
+        yield "", False, "<"
+        at += 1
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, without empty ones."""
     root = Node("", None)
     stack = [root]
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag in the stack
+    in_blocks: list[int] = []  # places of block-level elements
     out: list[Block] = []
     current: Block | None = None
     skip, skip_tag = False, ""
-    for m in _TOKEN.finditer(page):
-        tag = m["tag"]
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            t = stack.pop().tag
+            places[t].pop()
+            if t in BLOCK:
+                in_blocks.pop()
+
+    for tag, close, t in _tokens(page):
         if skip:
-            if tag and m["close"] and tag.lower() == skip_tag:
+            if close and tag == skip_tag:
                 skip = False
             continue
         if not tag:
-            t = m[0]
-            if t.startswith(("<!", "<?")) and len(t) > 2:
-                continue
             if current is None:
                 current = Block(stack[-1], hint=stack[-1].hint)
                 out.append(current)
@@ -113,52 +216,45 @@ def blocks(page: str) -> list[Block]:
             if stack[-1].link:
                 current.link_chars += len(t)
             continue
-        tag = tag.lower()
-        if m["close"]:
+        if close:
             if tag in BLOCK:
                 current = None
-            for k in range(len(stack) - 1, max(0, len(stack) - 200), -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK:
-                    break
+            if places[tag] and (tag in BLOCK or not in_blocks or in_blocks[-1] < places[tag][-1]):
+                cut(places[tag][-1])
             continue
         if tag in RAW:
-            if not m["attrs"].endswith("/") or tag not in ("svg", "math"):
+            if not t.endswith("/") or tag not in ("svg", "math"):
                 skip, skip_tag = True, tag
             continue
         if tag in BLOCK:
             current = None
-            if tag in ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        del stack[k:]
-                        break
-                    if stack[k].tag in BLOCK:
-                        break
+            if tag in ENDS_P and in_blocks and stack[in_blocks[-1]].tag == "p":
+                cut(in_blocks[-1])
             if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
                 ends = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}.get(tag, (tag,))
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in ends:
-                        del stack[k:]
+                for i in range(len(in_blocks) - 1, -1, -1):
+                    if stack[in_blocks[i]].tag in ends:
+                        cut(in_blocks[i])
                         if tag != "tr":
                             break
                         continue
-                    if stack[k].tag in BLOCK - {"p"}:
+                    if stack[in_blocks[i]].tag != "p":
                         break
             if tag == "body":
-                del stack[1:]
+                cut(1)
         if tag in VOID:
             if tag in ("br", "wbr", "img", "input") and current is not None:
                 current.parts.append(" " if tag != "wbr" else "")
             continue
         up = stack[-1]
-        own = _own(tag, m["attrs"], up.hint > 0)
+        own = _own(tag, t, up.hint > 0)
         if own is None:
             hint = up.hint
         else:  # content inside boilerplate stays boilerplate, except for an article in a poor wrapper
             hint = own if own < 0 or up.hint >= 0 else up.hint
+        places[tag].append(len(stack))
+        if tag in BLOCK:
+            in_blocks.append(len(stack))
         stack.append(Node(tag, up, own, hint, up.link or tag == "a", up.heading or tag in HEADINGS))
         if current is not None and tag not in BLOCK and own is not None and own < 0:
             current = None

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 
@@ -48,3 +49,36 @@ def test_query(spark):
 
 def test_flow_in_numbers():
     assert np.isclose(H._softplus(0), np.log(2)) and H.logit(H.blocks("<p>One plain sentence, with enough words to be read.</p>")[0]) > 0
+
+
+NAV = "<nav><p>A long text about nothing in particular that goes on and on, as menus do.</p></nav>"
+PROSE = "<p>A long text about something in particular that goes on and on, as articles do.</p>"
+
+
+def test_long_tags():
+    value = "{<b class=nav>q</b>}" * 500
+    for tag in (f'<div data-x="{value}" class="article">', f"<div data-x='{value}' class=article>", '<div class="article"' + "".join(f' data-a{i}="{i}"' for i in range(120)) + ">"):
+        (b,) = H.blocks(tag + PROSE + "</div>")
+        assert b.text == PROSE[3:-4] and b.hint == 3.0
+        assert H.blocks(tag.replace("article", "ad") + PROSE + "</div>")[0].hint == -7.0
+    assert [b.text for b in H.blocks("<p title=it's>One</p><p>It's two</p>")] == ["One", "It's two"]
+    assert [b.text for b in H.blocks("a <b c=\"d> e")] == ['a <b c="d> e']
+
+
+def test_close_tags_at_any_depth():
+    bs = H.blocks("<nav><p>" + "<b>" * 300 + "x" + "</nav><article>" + PROSE + "</article>")
+    assert [b.hint for b in bs] == [-7.0, 4.0]
+    assert [b.hint for b in H.blocks("<nav>" + "<section>" * 300 + "x</nav>" + PROSE)] == [-7.0, 0.0]
+
+
+def test_raw_elements_end_at_their_own_close_tag():
+    for raw in ("<script><!-- var a = 1;</script>", "<style><!-- p{} </style>", "<script>if (a <b && c == \"</p>) {}</script>", "<title><!-- x</title>", "<script><!-- <script>a</script> b --></script>", "<script>'<!-->'</script>", "<svg><style/><title/><path d='m'/></svg>"):
+        assert [b.text for b in H.blocks(raw + PROSE)] == [PROSE[3:-4]]
+    assert H.blocks("<script>x" + PROSE) == []
+
+
+def test_time_is_linear():
+    begin = time.process_time()
+    for p in ("<a c='" + "<a b=\"'\" c='" * 100000, '<a href="' * 100000, "<!" * 300000, "<b>" * 100000 + "</i>" * 100000, "<a " * 200000, "<table><tr>" * 50000, "<script>" * 100000, "<a b='" + "x=\"'\" " * 100000):
+        H.blocks(p)
+    assert time.process_time() - begin < 30
