@@ -16,7 +16,9 @@ best run of words around it.
 Before walks, a window must pass a counting test that no leak can fail: k edits
 destroy at most 2k of the item's pairs of neighbouring words, so the others must
 be there. Pairs of equal words are left out on both sides, since a text that
-repeats one word would have any number of them.
+repeats one word would have any number of them. An item of which the test would
+ask for no pair is not indexed, but compared by edit distance wherever a document
+has enough of its words close together.
 
 Items are matched in blocks of at most ``BLOCK`` items, one pass over the documents each.
 """
@@ -103,32 +105,58 @@ def locate(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end - back
 
 
+def cuts(n_words: int) -> list[int]:
+    """Where the parts of an item begin, and its end; an item is one part."""
+    return [0, n_words]
+
+
+def lasting(part: np.ndarray) -> int:
+    """Pairs of neighbouring unequal words that stay after as many edits as may be, at least."""
+    return int((part[1:] != part[:-1]).sum()) - 2 * bound(len(part))
+
+
 class Index:
-    """Items by the keys of their embeddings."""
+    """Parts of items by the keys of their embeddings."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], seed: int = 7):
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
-        self.lengths = sorted({len(w) for w in self.words})
-        if not items:
+        self.plain: list[int] = []  # items that the counting test would say nothing of
+        parts: list[np.ndarray] = []
+        of_item, offset = [], []
+        for i, w in enumerate(self.words):
+            c = cuts(len(w))
+            here = [w[a:z] for a, z in zip(c[:-1], c[1:], strict=True)]
+            if min(map(lasting, here)) < 1:
+                self.plain.append(i)
+                continue
+            parts += here
+            of_item += [i] * len(here)
+            offset += c[:-1]
+        self.of_item, self.offset = np.array(of_item, np.int64), np.array(offset, np.int64)
+        self.plain_words = np.unique(np.concatenate([self.words[i] for i in self.plain])) if self.plain else np.zeros(0, np.uint64)
+        self.lengths = sorted({len(w) for w in parts})
+        if not parts:
             return
         longest = self.lengths[-1]
         rng = np.random.default_rng(seed)
         self.bits = rng.integers(1, 1 << 63, (REPEATS, 3 * longest), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.places = {n: np.stack([rng.choice(3 * n, min(SAMPLED, 3 * n), replace=False) for _ in range(REPEATS)]) for n in self.lengths}
-        grid = np.zeros((len(items), longest), np.uint64)
-        for k, w in enumerate(self.words):
+        grid = np.zeros((len(parts), longest), np.uint64)
+        for k, w in enumerate(parts):
             grid[k, : len(w)] = w
-        n_words = np.array([len(w) for w in self.words])
-        keys, of = self.keys(grid, n_words)
+        n_words = np.array([len(w) for w in parts])
+        step = 2000
+        some = [(lo, *self.keys(grid[lo : lo + step], n_words[lo : lo + step])) for lo in range(0, len(parts), step)]
+        keys, of = np.concatenate([k for _, k, _ in some]), np.concatenate([lo + i for lo, _, i in some])
         o = np.argsort(keys, kind="stable")
-        self.sorted, self.item = keys[o], of[o]
-        # for each pair of words the lengths of the items that have it, as bits
+        self.sorted, self.part = keys[o], of[o]
+        # for each pair of words the lengths of the parts that have it, as bits
         self.filter = np.zeros(1 << FILTER_BITS, np.uint64)
         self.need = dict.fromkeys(self.lengths, longest)  # pairs that stay after as many edits as may be
-        for w in self.words:
+        for w in parts:
             p = pairs(w)[w[1:] != w[:-1]]
-            self.need[len(w)] = max(1, min(self.need[len(w)], len(p) - 2 * bound(len(w))))
+            self.need[len(w)] = min(self.need[len(w)], lasting(w))
             self.filter[(p >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] |= np.uint64(1 << len(w) % 64)
 
     def keys(self, grid: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +176,7 @@ class Index:
     def windows(self, h: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths of the windows that pass the counting test; room: words from each to its document's end."""
         starts, lens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(h) > 1:
+        if len(h) > 1 and self.lengths:
             mask = self.filter[(pairs(h) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
             some = np.flatnonzero((mask != 0) & (room[:-1] > 1) & (h[1:] != h[:-1]))
             mask = mask[some]
@@ -167,6 +195,26 @@ class Index:
                 lens.append(np.full(len(s), n))
         return np.concatenate(starts), np.concatenate(lens)
 
+    def without_index(self, h: np.ndarray, doc: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, distance, word) for the items of few unequal pairs, by edit distance wherever enough words are the item's."""
+        known = np.flatnonzero(np.isin(h, self.plain_words)) if self.plain else np.zeros(0, np.int64)
+        for i in self.plain:
+            w = self.words[i]
+            n, k = len(w), bound(len(w))
+            at = known[np.isin(h[known], w)]
+            # a leak holds n - k of the item's words among n + k words of one document
+            a, z = at[: max(0, len(at) - (n - k) + 1)], at[n - k - 1 :]
+            ok = (z - a < n + k) & (doc[a] == doc[z])
+            a, z = a[ok], z[ok]
+            if not len(a):
+                continue
+            lo, hi = np.maximum(z - (n + k) + 1, first[doc[a]]), np.minimum(a + n + k, first[doc[a] + 1])
+            new = np.flatnonzero(np.r_[True, (lo[1:] > hi[:-1]) | (doc[a[1:]] != doc[a[:-1]])])
+            for left, right in zip(lo[new].tolist(), hi[np.r_[new[1:] - 1, len(hi) - 1]].tolist(), strict=True):
+                cost, begin = locate(w, h[left:right])
+                if cost <= k:
+                    yield int(doc[left]), i, cost, left + begin
+
     def search(self, c: Chunk) -> list[tuple[int, int, int, int]]:
         """(document, item, distance, first word) for each document and item that it leaks, at the best place."""
         ws, we = c.runs(INSIDE)
@@ -189,11 +237,13 @@ class Index:
             hit = np.flatnonzero(z > a)
             reps = (z - a)[hit]
             flat = np.repeat(a[hit] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
-            both = np.unique(np.stack((s_[np.repeat(of[hit], reps)], self.item[flat]), axis=1), axis=0)
-            for start, item in both.tolist():
+            part = self.part[flat]
+            both = np.unique(np.stack((s_[np.repeat(of[hit], reps)], part), axis=1), axis=0)
+            # where the item would begin; its document is that of the part
+            both = np.unique(np.stack((both[:, 0] - self.offset[both[:, 1]], self.of_item[both[:, 1]], doc[both[:, 0]]), axis=1), axis=0)
+            for start, item, d in both.tolist():
                 w = self.words[item]
                 k = bound(len(w))
-                d = int(doc[start])
                 old = found.get((d, item))
                 if old and (old[0] == 0 or abs(old[1] - start) <= k):
                     continue
@@ -202,6 +252,9 @@ class Index:
                 cost, begin = locate(w, text)
                 if cost <= k and (not old or cost < old[0]):
                     found[d, item] = cost, left + begin
+        for d, i, cost, begin in self.without_index(h, doc, first):
+            if (d, i) not in found or cost < found[d, i][0]:
+                found[d, i] = cost, begin
         return [(d, i, cost, begin - int(first[d])) for (d, i), (cost, begin) in sorted(found.items())]
 
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lattica.llm import components as C
@@ -206,3 +207,20 @@ def test_decontamination_odd_inputs(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in D.query(df, many).collect()) == [(1, 7), (1, 10), (3, 7)]
     D.BLOCK = old
     assert D.leaks(df, items, into="found").where(F.size("found") > 0).select("leaks").count() == 2
+
+
+def leaked(items, docs):
+    index = D.Index(list(enumerate(D.item_words(items))))
+    return [{i for d, i, _, _ in index.search(c) if int(c.rows[d]) == k} for k in range(len(docs)) for c in D.chunks(pa.array(docs), D.WORDS_FOLD, 1 << 20)]
+
+
+def test_items_that_repeat_words():
+    items = ["0 0 0 0 0 0 0", "0 0 0 0 0 1 0 0", "a b a b a b a b a b a b a b a b", "1 2 3 4 5 6 7 8"]
+    docs = ["x y 0 0 0 0 0 0 0 z", "x 0 0 0 0 0 2 0 0 z", "0 0 0 0 1", "0 0 0 z z 0 0 0", "", "b " + "a b " * 7 + "c", "1 2 3 4 9 6 7 8", "0 0 0 0 0 1 0 0 " + "u v w " * 9]
+    assert leaked(items, docs) == [{0, 1}, {0, 1}, set(), set(), set(), {2}, {3}, {0, 1}]
+    rng = random.Random(5)
+    for _ in range(300):
+        item, text = rng.choices("aab", k=rng.randint(5, 16)), rng.choices("aabc", k=rng.randint(0, 40))
+        index = D.Index([(0, D.item_words([" ".join(item)])[0])])
+        if index.plain:
+            assert leaked([" ".join(item)], [" ".join(text)]) == [{0} if brute_distance(item, text) <= D.bound(len(item)) else set()]
