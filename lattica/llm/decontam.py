@@ -20,6 +20,10 @@ repeats one word would have any number of them. An item of which the test would
 ask for no pair is not indexed, but compared by edit distance wherever a document
 has enough of its words close together.
 
+The walks of long sequences drift apart, so an item is indexed by parts of at most
+``PART`` words: k edits leave one of them within its own bound. A part's hit is
+verified with the whole item.
+
 Items are matched in blocks of at most ``BLOCK`` items, one pass over the documents each.
 """
 
@@ -39,7 +43,8 @@ from .license_scan import WORDS
 
 EDIT_SHARE = 0.15
 MIN_WORDS = 5
-REPEATS = 24
+PART = 32
+REPEATS = 32
 SAMPLED = 4
 BLOCK = 4000
 FILTER_BITS = 20
@@ -106,8 +111,9 @@ def locate(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 def cuts(n_words: int) -> list[int]:
-    """Where the parts of an item begin, and its end; an item is one part."""
-    return [0, n_words]
+    """Where the parts of an item begin, and its end: as few parts of at most PART words as there can be, of near equal length."""
+    parts = -(-n_words // PART)
+    return [n_words * j // parts for j in range(parts + 1)]
 
 
 def lasting(part: np.ndarray) -> int:
@@ -167,10 +173,12 @@ class Index:
             rows = np.flatnonzero(n_words == n)
             for r in range(REPEATS):
                 k = np.full(len(rows), n * REPEATS + r, np.uint64)
+                some = np.zeros(len(rows), np.int8)  # where all places but one lie after the end, too many sequences would share the key
                 for p in self.places[n][r]:
                     k = mix(k * np.uint64(0x9E3779B97F4A7C15) ^ out[p, r, rows])
-                keys.append(k)
-                of.append(rows)
+                    some += out[p, r, rows] != PAD
+                keys.append(k[some > 1])
+                of.append(rows[some > 1])
         return np.concatenate(keys), np.concatenate(of)
 
     def windows(self, h: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +233,7 @@ class Index:
         h = c.word_hashes(ws, we)
         stop = first[doc + 1]
         s, n = self.windows(h, stop - np.arange(len(h)))
-        found: dict[tuple[int, int], tuple[int, int]] = {}
+        hits = [np.zeros((0, 3), np.int64)]
         step = 2000
         for lo in range(0, len(s), step):
             s_, n_ = s[lo : lo + step], n[lo : lo + step]
@@ -240,18 +248,20 @@ class Index:
             part = self.part[flat]
             both = np.unique(np.stack((s_[np.repeat(of[hit], reps)], part), axis=1), axis=0)
             # where the item would begin; its document is that of the part
-            both = np.unique(np.stack((both[:, 0] - self.offset[both[:, 1]], self.of_item[both[:, 1]], doc[both[:, 0]]), axis=1), axis=0)
-            for start, item, d in both.tolist():
-                w = self.words[item]
-                k = bound(len(w))
-                old = found.get((d, item))
-                if old and (old[0] == 0 or abs(old[1] - start) <= k):
-                    continue
-                left = max(start - k, int(first[d]))
-                text = h[left : min(start + len(w) + k, int(first[d + 1]))]
-                cost, begin = locate(w, text)
-                if cost <= k and (not old or cost < old[0]):
-                    found[d, item] = cost, left + begin
+            item = self.of_item[both[:, 1]]
+            hits.append(np.stack((doc[both[:, 0]], item, both[:, 0] - self.offset[both[:, 1]]), axis=1))
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        d, item, start = np.unique(np.concatenate(hits), axis=0).T
+        n = np.array([len(w) for w in self.words])[item]
+        k = np.array([bound(len(w)) for w in self.words])[item]
+        lo, hi = np.maximum(start - k, first[d]), np.minimum(start + n + k, first[d + 1])
+        new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])][: len(d)])
+        last = np.r_[new[1:] - 1, len(d) - 1][: len(new)]
+        for d_, i, left, right in zip(d[new].tolist(), item[new].tolist(), lo[new].tolist(), hi[last].tolist(), strict=True):
+            w = self.words[i]
+            cost, begin = locate(w, h[left:right])
+            if cost <= bound(len(w)) and ((d_, i) not in found or cost < found[d_, i][0]):
+                found[d_, i] = cost, left + begin
         for d, i, cost, begin in self.without_index(h, doc, first):
             if (d, i) not in found or cost < found[d, i][0]:
                 found[d, i] = cost, begin

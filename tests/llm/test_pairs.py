@@ -224,3 +224,20 @@ def test_items_that_repeat_words():
         index = D.Index([(0, D.item_words([" ".join(item)])[0])])
         if index.plain:
             assert leaked([" ".join(item)], [" ".join(text)]) == [{0} if brute_distance(item, text) <= D.bound(len(item)) else set()]
+
+
+def test_recall_of_long_items_at_the_bound():
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(5000)]
+    for n in (60, 100, 150, 200, 300):
+        items = [rng.choices(vocab, k=n) for _ in range(40)]
+        for kinds in ((1,), (0, 1, 2)):
+            docs = []
+            for t in items:
+                w = list(t)
+                for _ in range(D.bound(n)):
+                    k, kind = rng.randrange(len(w)), rng.choice(kinds)
+                    w[k : k + (kind != 2)] = [rng.choice(vocab)] * (kind != 1)
+                docs.append(" ".join(rng.choices(vocab, k=50) + w + rng.choices(vocab, k=50)))
+            got = leaked([" ".join(t) for t in items], docs)
+            assert sum(k in x for k, x in enumerate(got)) >= 39
