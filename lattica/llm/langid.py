@@ -12,7 +12,8 @@ per byte. Contexts that were seen fewer than ``MIN_CONTEXT`` times in all are
 pruned, which makes the order variable.
 
 Training takes at most ``TRAIN_DOCS`` documents a language and, of those, at most
-``TRAIN_BYTES`` bytes a language: a bounded sample drawn by a hash of doc_id.
+``TRAIN_BYTES`` bytes a language: a bounded sample drawn by a hash of doc_id. Of a
+text longer than ``TRAIN_CHARS`` characters it takes the start.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ MAX_CONTEXTS = 24_000
 MAX_SYMBOLS = 127
 TRAIN_DOCS = 400
 TRAIN_BYTES = 4_000_000
+#: A longer text trains with as many characters from its start.
+TRAIN_CHARS = 200_000
 UNDETERMINED = "und"
 SCHEMA = "lang string, score double, bits_per_byte double"
 
@@ -161,9 +164,9 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     spark = df.sparkSession
     want = spark.createDataFrame([(r[0],) for r in picked], "__id long").distinct()
     got = rows.select(F.col(key).alias("__id"), F.col(text).alias("__text"), F.col(lang).alias("__lang"), order.alias("__o")).join(F.broadcast(want), "__id")
-    short = got.where(F.length("__text") <= TRAIN_BYTES // 20).toLocalIterator()
+    starts = got.withColumn("__text", F.substring("__text", 1, TRAIN_CHARS)).toLocalIterator()
     texts: dict[str, list[tuple[int, int, bytes]]] = {}
-    for r in short:
+    for r in starts:
         texts.setdefault(r["__lang"], []).append((r["__o"], r["__id"], _normal(pa.array([r["__text"]]))[0].as_py().encode("utf-8", "replace")))
     bounded = {}
     for k, v in texts.items():

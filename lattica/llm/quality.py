@@ -11,7 +11,8 @@ curve fitted on training documents so that 0.7 separates the labels best.
 Lines have no labels of their own. Training starts from the document's label;
 a second round takes the lines of bad documents as the first model labels them,
 the worst one staying bad. It uses at most ``MAX_TRAIN`` documents, drawn by a
-hash of doc_id; scoring covers all rows and lines.
+hash of doc_id, each by its first ``MAX_TRAIN_LINES`` lines and ``MAX_TRAIN_CHARS``
+characters; scoring covers all rows and lines.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from .common import Chunk, bounded_ids, chunks, crc_mod, ids_frame, small_batche
 
 MAX_TRAIN = 5000
 MAX_TRAIN_LINES = 400
+MAX_TRAIN_CHARS = 40_000
 THRESHOLD = 0.7
 
 #: Kinds of bytes: 0 lower-case letter, 1 upper-case letter, 2 digit, 3 space, 4 bar,
@@ -220,8 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_row: Column, text: str = "text
     fine = bounded_ids(known.where("__y = 1"), key, MAX_TRAIN // 2, "crf-good")
     y = dict.fromkeys(bad, 0) | dict.fromkeys(fine, 1)
     want = ids_frame(docs.sparkSession, sorted(y), "__id")
-    n_lines = F.length("__text") - F.length(F.replace("__text", F.lit("\n"), F.lit("")))
-    got = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).where(F.col("__text").isNotNull() & (n_lines < MAX_TRAIN_LINES) & (F.length("__text") < 40_000)).join(F.broadcast(want), "__id")
+    start = F.substring_index(F.substring(text, 1, MAX_TRAIN_CHARS), "\n", MAX_TRAIN_LINES)
+    got = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__id"), start.alias("__text")).join(F.broadcast(want), "__id")
     rows = sorted({(r["__id"], r["__text"]) for r in got.toLocalIterator()})
     return train([t.encode() for _, t in rows], np.array([y[i] for i, _ in rows], np.int64))
 

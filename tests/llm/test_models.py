@@ -128,3 +128,16 @@ def test_quality_odd_inputs(spark):
 def test_line_features_stay_in_documents():
     x, lens, first = quality.line_features(Chunk(np.arange(3), [b"a b\nc", b"", b"c\nc"]))
     assert first.tolist() == [0, 2, 3] and lens.tolist() == [4, 2, 1, 2, 2] and x[4, 12] == 1 and x[3, 12] == 0
+
+
+def test_long_texts_train_too(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat and ran " * 50, "en"), (2, "der hund und die katze laufen " * 9000, "de")], "doc_id long, text string, lang string")
+    got = langid.predict(docs, langid.fit(docs)).select("doc_id", "language.lang").collect()
+    assert sorted(map(tuple, got)) == [(1, "en"), (2, "de")]
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, good: seen.append((texts, good)))
+    docs = spark.createDataFrame([(1, "a line\n" * 500), (2, "x" * 50000), (3, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "doc_id long, quality int")
+    quality.fit(docs, labels, F.lit(True))
+    (texts, good), = seen
+    assert [len(x) for x in texts] == [7 * 400 - 1, 40000, 5] and good.tolist() == [0, 0, 1]
