@@ -65,6 +65,9 @@ _filter("no_value", [Filter("o_totalprice", ">", None), Filter("o_orderkey", "<"
 _filter("any_of", [Filter("o_totalprice", "<", 20000.0), Filter("o_orderkey", "<", 50)], "o_totalprice < 20000 OR o_orderkey < 50", op="or")
 _filter("ignore_all", Filter("o_orderkey", "ignore all"), "FALSE")
 _filter("all_date_range", [Filter("o_orderdate", "all date range"), Filter("o_orderkey", "<", 200)], "o_orderkey < 200")
+# over all rows; no_value and all_date_range keep the second filter that their SQL states
+_filter("no_value_whole", Filter("o_totalprice", ">", None), "TRUE")
+_filter("all_date_range_whole", Filter("o_orderdate", "all date range"), "TRUE")
 _filter("group", GroupFilter(((("o_orderpriority", ("1-URGENT", "2-HIGH")), ("o_orderstatus", ("F",))), (("o_orderstatus", ("P",)),))), "(o_orderpriority NOT IN ('1-URGENT', '2-HIGH') OR o_orderstatus NOT IN ('F')) AND o_orderstatus NOT IN ('P')")
 
 for _n, _op, _w in (

@@ -25,3 +25,8 @@ def test_append_and_remove_read_all_rows(spark):
 def test_stored_side_grows_with_the_table(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
     assert "6000" not in plan and "4000" not in plan
+
+
+@pytest.mark.parametrize("name", ["filter_no_value_whole", "filter_all_date_range_whole"])
+def test_filters_without_effect_keep_all_rows(spark, name):
+    assert registry.QUERIES[name](spark, SF).count() == registry.t(spark, SF, "orders").count()
