@@ -35,11 +35,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import as_bytes, cut, small_batches, tidy
+from .common import Chunk, as_bytes, cut, small_batches, tidy
 
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+#: Words kept with their ids by each worker: about 40 bytes each.
 MAX_WORDS = 400_000
 WORD_END = "</w>"
 #: The tokenizer's own parts of a word; it lowers case, so that A-Z can be lowered before.
@@ -47,7 +48,9 @@ _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+", re.I)
 #: The letters that stand for the bytes 127 to 160 and 173 in byte-level tokenizers.
 _BYTE_LETTERS = {b: 289 + k for k, b in enumerate([*range(127, 161), 173])}
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
-GROUP_BYTES = 2_000_000
+_WORD = np.ones(256, bool)
+_WORD[[9, 10, 11, 12, 13, 32]] = False
+GROUP_BYTES = 1 << 19
 
 Pattern = tuple[int, list[tuple[int, int]]]  # how many sequences; lengths with their counts in each
 
@@ -56,7 +59,8 @@ class WordTokenizer:
     """Ids of whole texts, from the ids of their words between ASCII white space.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are its words' ids in order. Words are kept with their ids until there are too many.
+    are its words' ids in order. Words are found in one numpy pass over the bytes and
+    known by 64-bit hashes; those not met before are encoded and kept, until there are too many.
     Texts that may hold a special token's string keep their case, which it depends on.
     """
 
@@ -78,7 +82,8 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.keys: np.ndarray = np.zeros(0, np.uint64)  # hashes of known words, sorted
+        self.row: np.ndarray = np.zeros(0, np.int64)  # of each, its place in starts and lens
         self.starts: np.ndarray = np.zeros(0, np.int64)
         self.lens: np.ndarray = np.zeros(0, np.int64)
         self.ids: np.ndarray = np.zeros(0, np.uint32)
@@ -115,27 +120,39 @@ class WordTokenizer:
         order = np.concatenate((plain, rest))  # in which the ids stand
         starts = np.empty(len(words), np.int64)
         starts[order] = len(self.ids) + np.cumsum(lens[order]) - lens[order]
-        self.at.update(zip(words, range(len(self.lens), len(self.lens) + len(words)), strict=True))
         self.starts = np.concatenate((self.starts, starts))
         self.lens = np.concatenate((self.lens, lens))
         self.ids = np.concatenate((self.ids, ids.astype(np.uint32), more.astype(np.uint32), np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))))
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [(t if b"<|" in t else t.translate(_LOWER)).split() for t in texts]
-        flat = list(chain.from_iterable(words))
-        new = [w for w in dict.fromkeys(flat) if w not in self.at]
-        if new and len(self.at) + len(new) > MAX_WORDS:
+    def _rows(self, c: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The place of each word in starts and lens, learning the words not met before."""
+        h, first, back = np.unique(c.word_hashes(starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, h)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == h if len(self.keys) else np.zeros(len(h), bool)
+        if not known.all() and len(self.keys) + int((~known).sum()) > MAX_WORDS:
             self._clear()
-            new = list(dict.fromkeys(flat))
-        if new:
-            self._learn(new)
-        idx = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
-        lens = self.lens[idx]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.starts[idx] - (ends - lens), lens) + np.arange(total)]
-        cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, words)])]
-        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            at, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = c.buf.tobytes()
+            here = len(self.lens)
+            self._learn([raw[i:j] for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self.keys = np.insert(self.keys, at[new], h[new])
+            self.row = np.insert(self.row, at[new], here + np.arange(len(new)))
+            at = np.searchsorted(self.keys, h)
+        return self.row[at][back]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        c = Chunk(np.arange(len(texts)), [t if b"<|" in t else t.translate(_LOWER) for t in texts])
+        starts, ends = c.runs(_WORD)
+        if not len(starts):
+            return [self.ids[:0]] * len(texts)
+        row = self._rows(c, starts, ends)
+        lens = self.lens[row]
+        stop = np.cumsum(lens)
+        ids = self.ids[np.repeat(self.starts[row] - (stop - lens), lens) + np.arange(int(stop[-1]))]
+        cuts = np.concatenate(([0], stop))[np.searchsorted(starts, np.concatenate((c.starts, c.ends[-1:])))].tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -183,7 +200,6 @@ def pieces(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
                         seen[len(part)] += 1
                     at += 1
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([chunk] * len(row), pa.int32()), pa.array(place, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "place"])
-        tok._clear()
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, place long")
 
