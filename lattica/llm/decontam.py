@@ -18,13 +18,16 @@ destroy at most 2k of the item's pairs of neighbouring words, so the others must
 be there. Pairs of equal words are left out on both sides, since a text that
 repeats one word would have any number of them. An item of which the test would
 ask for no pair is not indexed, but compared by edit distance wherever a document
-has enough of its words close together.
+has enough of its words close together. Items too short for a walk, of fewer than
+``WALK_WORDS`` words, have the bound 0 and are found by the hash of all their words.
 
 The walks of long sequences drift apart, so an item is indexed by parts of at most
 ``PART`` words: k edits leave one of them within its own bound. A part's hit is
 verified with the whole item.
 
-Items are matched in blocks of at most ``BLOCK`` items, one pass over the documents each.
+Items are matched in blocks of about ``BLOCK_WORDS`` words, one pass over the documents
+each. A worker holds the index of one block; between passes the rows are written to
+the shared folder, so memory does not grow with the number of items.
 """
 
 from __future__ import annotations
@@ -38,15 +41,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Chunk, chunks, mix, small_batches, tidy
+from .common import Chunk, chunks, cut, mix, small_batches, tidy
 from .license_scan import WORDS
 
 EDIT_SHARE = 0.15
-MIN_WORDS = 5
+WALK_WORDS = 5
 PART = 32
 REPEATS = 32
 SAMPLED = 4
-BLOCK = 4000
+BLOCK_WORDS = 250_000
+#: Windows that are embedded at a time; one step of a walk takes REPEATS * 8 bytes for each.
+WINDOWS = 500
 FILTER_BITS = 20
 INSIDE = WORDS != 32
 PAD = np.uint64(0)
@@ -110,6 +115,14 @@ def locate(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end - back
 
 
+def runs_of(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each word on."""
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for k in range(n):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)])
+    return out
+
+
 def cuts(n_words: int) -> list[int]:
     """Where the parts of an item begin, and its end: as few parts of at most PART words as there can be, of near equal length."""
     parts = -(-n_words // PART)
@@ -128,9 +141,13 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         self.plain: list[int] = []  # items that the counting test would say nothing of
+        short: dict[int, list[int]] = {}
         parts: list[np.ndarray] = []
         of_item, offset = [], []
         for i, w in enumerate(self.words):
+            if len(w) < WALK_WORDS:
+                short.setdefault(len(w), []).append(i)
+                continue
             c = cuts(len(w))
             here = [w[a:z] for a, z in zip(c[:-1], c[1:], strict=True)]
             if min(map(lasting, here)) < 1:
@@ -139,6 +156,12 @@ class Index:
             parts += here
             of_item += [i] * len(here)
             offset += c[:-1]
+        # by number of words: hashes of whole short items, sorted, and their items
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, which in short.items():
+            code = np.array([runs_of(self.words[i], n)[0] for i in which])
+            o = np.argsort(code, kind="stable")
+            self.short[n] = code[o], np.array(which)[o]
         self.of_item, self.offset = np.array(of_item, np.int64), np.array(offset, np.int64)
         self.plain_words = np.unique(np.concatenate([self.words[i] for i in self.plain])) if self.plain else np.zeros(0, np.uint64)
         self.lengths = sorted({len(w) for w in parts})
@@ -152,8 +175,7 @@ class Index:
         for k, w in enumerate(parts):
             grid[k, : len(w)] = w
         n_words = np.array([len(w) for w in parts])
-        step = 2000
-        some = [(lo, *self.keys(grid[lo : lo + step], n_words[lo : lo + step])) for lo in range(0, len(parts), step)]
+        some = [(lo, *self.keys(grid[lo : lo + WINDOWS], n_words[lo : lo + WINDOWS])) for lo in range(0, len(parts), WINDOWS)]
         keys, of = np.concatenate([k for _, k, _ in some]), np.concatenate([lo + i for lo, _, i in some])
         o = np.argsort(keys, kind="stable")
         self.sorted, self.part = keys[o], of[o]
@@ -223,6 +245,19 @@ class Index:
                 if cost <= k:
                     yield int(doc[left]), i, cost, left + begin
 
+    def whole(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, 0, word) for the short items: the first place that each stands at in a document."""
+        for n, (code, which) in self.short.items():
+            run = runs_of(h, n)
+            a, z = np.searchsorted(code, run, "left"), np.searchsorted(code, run, "right")
+            at = np.flatnonzero(z > a)
+            at = at[doc[at] == doc[at + n - 1]]
+            reps = (z - a)[at]
+            item = which[np.repeat(a[at] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))]
+            at = np.repeat(at, reps)
+            _, first = np.unique(doc[at] * len(self.words) + item, return_index=True)
+            yield from ((d, i, 0, w) for d, i, w in zip(doc[at[first]].tolist(), item[first].tolist(), at[first].tolist(), strict=True))
+
     def search(self, c: Chunk) -> list[tuple[int, int, int, int]]:
         """(document, item, distance, first word) for each document and item that it leaks, at the best place."""
         ws, we = c.runs(INSIDE)
@@ -234,9 +269,8 @@ class Index:
         stop = first[doc + 1]
         s, n = self.windows(h, stop - np.arange(len(h)))
         hits = [np.zeros((0, 3), np.int64)]
-        step = 2000
-        for lo in range(0, len(s), step):
-            s_, n_ = s[lo : lo + step], n[lo : lo + step]
+        for lo in range(0, len(s), WINDOWS):
+            s_, n_ = s[lo : lo + WINDOWS], n[lo : lo + WINDOWS]
             at = s_[:, None] + np.arange(int(n_.max()))
             ok = np.arange(at.shape[1]) < np.minimum(n_, stop[s_] - s_)[:, None]
             grid = np.where(ok, h[np.minimum(at, len(h) - 1)], PAD)
@@ -262,7 +296,7 @@ class Index:
             cost, begin = locate(w, h[left:right])
             if cost <= bound(len(w)) and ((d_, i) not in found or cost < found[d_, i][0]):
                 found[d_, i] = cost, left + begin
-        for d, i, cost, begin in self.without_index(h, doc, first):
+        for d, i, cost, begin in (*self.without_index(h, doc, first), *self.whole(h, doc)):
             if (d, i) not in found or cost < found[d, i][0]:
                 found[d, i] = cost, begin
         return [(d, i, cost, begin - int(first[d])) for (d, i), (cost, begin) in sorted(found.items())]
@@ -280,15 +314,17 @@ def item_words(texts: list[str]) -> list[np.ndarray]:
 WORDS_FOLD = np.where(WORDS == 32, 32, WORDS).astype(np.uint8)
 
 
-def _matcher(items: list[tuple[int, str]]):
+def _matcher(shared):
+    """shared: a broadcast list of (item id, text)."""
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = item_words([t for _, t in items])
-        index = Index([(i, w) for (i, _), w in zip(items, words, strict=True) if len(w) >= MIN_WORDS])
+        items = shared.value
+        index = Index([(i, w) for (i, _), w in zip(items, item_words([t for _, t in items]), strict=True) if len(w)])
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int64()), ("n_words", pa.int64()), ("first_word", pa.int64())]))
         for arr in batches:
             out: list = [[] for _ in range(len(arr))]
             if index.ids:
-                for c in chunks(arr, WORDS_FOLD, 1 << 20):
+                for c in chunks(arr, WORDS_FOLD):
                     for d, item, cost, begin in index.search(c):
                         out[int(c.rows[d])].append({"item_id": index.ids[item], "distance": cost, "n_words": len(index.words[item]), "first_word": begin})
             yield pa.array(out, kind)
@@ -299,20 +335,28 @@ def _matcher(items: list[tuple[int, str]]):
 def leaks(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "leaks") -> DataFrame:
     """Add the array column ``into``: the items a document leaks, each at its best place, by item_id.
 
-    Items without id or text, or of fewer than MIN_WORDS words, leak nothing. A
-    null or empty document leaks nothing, and nothing leaks from an empty table of
-    items. Repeated items are matched once for each distinct text.
+    Of places at the same distance the first counts whose run ends first. Items
+    without id, text or words leak nothing; those of up to six words leak where they
+    stand unchanged. A null or empty document leaks nothing, and nothing leaks from an
+    empty table of items. Repeated items are matched once for each distinct text.
+    Documents are kept as they are, repeated ones included, at any length; other columns
+    pass through, one of the name ``into`` is replaced.
     """
-    small_batches(df.sparkSession)
+    spark = df.sparkSession
+    small_batches(spark)
     known = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).dropna().distinct()
-    blocks = max(1, -(-known.count() // BLOCK))
+    words = known.agg(F.sum(F.length("t") / 6 + 1)).first()[0] or 0  # a word has about five letters and a space
+    blocks = max(1, -(-int(words) // BLOCK_WORDS))
     found: Column | None = None
     for b in range(blocks):
-        part = known.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b) if blocks > 1 else known
-        rows = sorted((r["i"], r["t"]) for r in part.collect())  # about BLOCK items at most
-        here = _matcher(rows)(F.col(text))
-        found = here if found is None else F.concat(found, here)
-    return df.withColumn(into, F.array_sort(found))
+        part = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else known
+        rows = sorted((r["i"], r["t"]) for r in part.collect())  # about BLOCK_WORDS words
+        here = _matcher(spark.sparkContext.broadcast(rows))(F.col(text))
+        if blocks == 1:
+            return df.withColumn(into, F.array_sort(here))
+        df = cut(df.withColumn("__leaks", here if found is None else F.concat("__leaks", here)))
+        found = F.col("__leaks")
+    return df.withColumn(into, F.array_sort("__leaks")).drop("__leaks")
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:

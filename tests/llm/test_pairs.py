@@ -153,6 +153,16 @@ def brute_distance(p, t):
     return min(prev)
 
 
+def edits(p, t):
+    prev = list(range(len(t) + 1))
+    for i in range(1, len(p) + 1):
+        cur = [i]
+        for j in range(1, len(t) + 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (p[i - 1] != t[j - 1])))
+        prev = cur
+    return prev[-1]
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(300):
@@ -191,27 +201,32 @@ def test_leaks_against_brute_force(spark):
         t = words(r["text"])
         here = set(t)
         for i, w in its:
-            if len(w) >= D.MIN_WORDS and sum(x not in here for x in w) <= D.bound(len(w)) and brute_distance(w, t) <= D.bound(len(w)):
-                want.add((r["doc_id"], i))
-    assert want and {(r["doc_id"], r["item_id"]) for r in D.query(d, items).collect()} == want
+            if w and sum(x not in here for x in w) <= D.bound(len(w)) and brute_distance(w, t) <= D.bound(len(w)):
+                want.add((r["doc_id"], i, brute_distance(w, t)))
+    got = D.query(d, items).collect()
+    assert want and {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == want
+    texts, wanted = {r["doc_id"]: words(r["text"]) for r in d.collect()}, dict(its)
+    for r in got:  # the place is right: the item's distance to the text from there on, at its beginning, is the one stated
+        w = wanted[r["item_id"]]
+        assert any(edits(w, texts[r["doc_id"]][r["first_word"] : r["first_word"] + n]) == r["distance"] for n in range(len(w) - r["distance"], len(w) + r["distance"] + 1))
 
 
 def test_decontamination_odd_inputs(spark):
     df = spark.createDataFrame([(1, "one two three four five six seven", "z"), (2, None, "z"), (3, "", "z"), (3, "ONE, two; three four five six", None)], "doc_id long, text string, leaks string")
-    items = spark.createDataFrame([(7, "One two three four five six", 1), (7, "One two three four five six", 1), (8, "two", 1), (None, "one two three four five", 1), (9, None, 1)], "item_id long, text string, doc_id int")
+    items = spark.createDataFrame([(7, "One two three four five six", 1), (7, "One two three four five six", 1), (8, "two", 1), (11, "Six seven", 1), (12, "six eight", 1), (13, " ,", 1), (None, "one two three four five", 1), (9, None, 1)], "item_id long, text string, doc_id int")
     got = D.query(df, items).collect()
-    assert sorted((r["doc_id"], r["item_id"], r["distance"], r["first_word"]) for r in got) == [(1, 7, 0, 0), (3, 7, 0, 0)]
+    assert sorted((r["doc_id"], r["item_id"], r["distance"], r["first_word"]) for r in got) == [(1, 7, 0, 0), (1, 8, 0, 1), (1, 11, 0, 5), (3, 7, 0, 0), (3, 8, 0, 1)]
     assert D.query(df, items.limit(0)).count() == 0 and D.query(df.limit(0), items).count() == 0
-    old, D.BLOCK = D.BLOCK, 1
+    old, D.BLOCK_WORDS = D.BLOCK_WORDS, 5
     many = items.unionByName(spark.createDataFrame([(10, "two three four five six seven", 1)], items.schema))
-    assert sorted((r["doc_id"], r["item_id"]) for r in D.query(df, many).collect()) == [(1, 7), (1, 10), (3, 7)]
-    D.BLOCK = old
+    assert sorted((r["doc_id"], r["item_id"]) for r in D.query(df, many).collect()) == [(1, 7), (1, 8), (1, 10), (1, 11), (3, 7), (3, 8)]
+    D.BLOCK_WORDS = old
     assert D.leaks(df, items, into="found").where(F.size("found") > 0).select("leaks").count() == 2
 
 
 def leaked(items, docs):
     index = D.Index(list(enumerate(D.item_words(items))))
-    return [{i for d, i, _, _ in index.search(c) if int(c.rows[d]) == k} for k in range(len(docs)) for c in D.chunks(pa.array(docs), D.WORDS_FOLD, 1 << 20)]
+    return [{i for d, i, _, _ in index.search(c) if int(c.rows[d]) == k} for k in range(len(docs)) for c in D.chunks(pa.array(docs), D.WORDS_FOLD)]
 
 
 def test_items_that_repeat_words():
@@ -241,3 +256,58 @@ def test_recall_of_long_items_at_the_bound():
                 docs.append(" ".join(rng.choices(vocab, k=50) + w + rng.choices(vocab, k=50)))
             got = leaked([" ".join(t) for t in items], docs)
             assert sum(k in x for k, x in enumerate(got)) >= 39
+
+
+def test_distances_of_random_items():
+    """Items of 1 to 2000 words, repeated words included, against the exact edit distance."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(400)]
+    for n in (1, 2, 4, 5, 6, 7, 9, 14, 31, 33, 64, 100, 300, 700, 2000):
+        items = [rng.choices(vocab[: rng.choice((3, 40, 400))], k=n) for _ in range(6)]
+        docs = []
+        for t in items:
+            w = list(t)
+            for _ in range(rng.randint(0, D.bound(n) + 1)):
+                k, kind = rng.randrange(len(w) or 1), rng.randrange(3)
+                w[k : k + (kind != 2)] = [rng.choice(vocab)] * (kind != 1)
+            docs.append(" ".join(rng.choices(vocab, k=30) + w + rng.choices(vocab, k=30) + t[: n // 2]))
+        index = D.Index(list(enumerate(D.item_words([" ".join(t) for t in items]))))
+        got = {(int(c.rows[d]), i): (cost, at) for c in D.chunks(pa.array(docs), D.WORDS_FOLD) for d, i, cost, at in index.search(c)}
+        exact = {(d, i): D.distance(index.words[i], D.item_words([t])[0])[0] for d, t in enumerate(docs) for i in range(len(items))}
+        want = {k: v for k, v in exact.items() if v <= D.bound(n)}
+        assert {k: v for k, (v, _) in got.items()} == want, n
+        for (d, i), (cost, at) in got.items():
+            assert D.distance(index.words[i], D.item_words([docs[d]])[0][at : at + n + cost])[0] == cost
+
+
+def test_very_long_document(spark):
+    item = [f"i{k}" for k in range(40)]
+    long = " ".join(["filler words that repeat"] * 120_000 + item + ["more filler"] * 50_000)
+    df = spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert [(r["doc_id"], r["distance"], r["first_word"]) for r in D.query(df, items).collect()] == [(1, 0, 480_000)]
+
+
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = [(1, [1.0, 2.0], "a"), (2, [1.001, 2.0], "a"), (3, [1.0, 2.0], "a"), (4, [1.0, 2.0], "b"), (5, [1.0, 2.0, 0.0], "a"), (6, [1e-200, 2e-200], "a"), (7, [1e200, 2e200], "a"), (7, [1e200, 2e200], "a")]
+    base = rng.normal(size=(300, 40))
+    rows += [(100 + i, v.tolist(), "a") for i, v in enumerate(np.concatenate((base, base[:50] + rng.normal(scale=0.02, size=(50, 40)))))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.contract(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert {k: got[k] for k in range(1, 8)} == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (0, 4), 5: (0, 5), 6: (4, 1), 7: (4, 1)}
+    assert all(got[400 + i] == (1, 100 + i) for i in range(50))
+
+
+def test_recall_with_many_pivots():
+    """Pairs at the threshold in tight clusters, by the number of pivots that so many vectors have."""
+    rng = np.random.default_rng(3)
+    centre = E._unit(rng.normal(size=(20, 64)))
+    x = E._unit(np.sqrt(0.96) * centre[rng.integers(20, size=10_000)] + 0.2 * E._unit(rng.normal(size=(10_000, 64))))
+    q = x[8000:]
+    u = rng.normal(size=q.shape)
+    u = E._unit(u - (u * q).sum(1, keepdims=True) * q)
+    y = 0.9805 * q + np.sqrt(1 - 0.9805**2) * u
+    for n in (4_000, 50_000, 10_000_000):
+        p = E.choose_pivots(x[: E.SAMPLE], E.n_pivots(n))
+        a, b = (np.argsort(-(v @ p.T), axis=1)[:, : E.NEAREST] for v in (q, y))
+        assert ((a[:, :, None] == b[:, None, :]).sum((1, 2)) >= E.SHARED).mean() >= 0.95
