@@ -22,7 +22,7 @@ def test_page():
 
 def test_odd_pages():
     for p in ("", " ", "<", "</p>", "<p", "a < b", "<script>x", "<p></p><div></div>", "<!-- <p>x</p>", "&#0;&bogus;&amp", '<a href="' * 3000, "<div>" * 5000 + "x" + "</div>" * 10):
-        t, kept, n = H.extract(p)
+        t, kept, n, _ = H.extract(p)
         assert kept <= n and t == t.strip()
     assert H.extract("<article>" + "<p>Some words of prose stand here, as ever.</p>" * 3000 + "</article>")[1] == 3000
 
@@ -59,16 +59,17 @@ def test_long_tags():
     value = "{<b class=nav>q</b>}" * 500
     for tag in (f'<div data-x="{value}" class="article">', f"<div data-x='{value}' class=article>", '<div class="article"' + "".join(f' data-a{i}="{i}"' for i in range(120)) + ">"):
         (b,) = H.blocks(tag + PROSE + "</div>")
-        assert b.text == PROSE[3:-4] and b.hint == 3.0
-        assert H.blocks(tag.replace("article", "ad") + PROSE + "</div>")[0].hint == -7.0
+        assert b.text == PROSE[3:-4] and b.node.high == 0.6 and b.node.low == 0
+        assert H.blocks(tag.replace("article", "ad") + PROSE + "</div>")[0].node.low == -4.5
     assert [b.text for b in H.blocks("<p title=it's>One</p><p>It's two</p>")] == ["One", "It's two"]
     assert [b.text for b in H.blocks("a <b c=\"d> e")] == ['a <b c="d> e']
 
 
 def test_close_tags_at_any_depth():
     bs = H.blocks("<nav><p>" + "<b>" * 300 + "x" + "</nav><article>" + PROSE + "</article>")
-    assert [b.hint for b in bs] == [-7.0, 4.0]
-    assert [b.hint for b in H.blocks("<nav>" + "<section>" * 300 + "x</nav>" + PROSE)] == [-7.0, 0.0]
+    assert [(b.node.low, b.node.high) for b in bs] == [(-5.0, 0), (0, 1.0)]
+    assert [b.node.low for b in H.blocks("<nav>" + "<section>" * 300 + "x</nav>" + PROSE)] == [-5.0, 0.0]
+    assert H.extract("<aside>" + "<div>" * 250 + "x</aside><article>" + PROSE + "</article>")[0] == PROSE[3:-4]
 
 
 def test_raw_elements_end_at_their_own_close_tag():
@@ -82,3 +83,98 @@ def test_time_is_linear():
     for p in ("<a c='" + "<a b=\"'\" c='" * 100000, '<a href="' * 100000, "<!" * 300000, "<b>" * 100000 + "</i>" * 100000, "<a " * 200000, "<table><tr>" * 50000, "<script>" * 100000, "<a b='" + "x=\"'\" " * 100000):
         H.blocks(p)
     assert time.process_time() - begin < 30
+
+
+ARTICLE = "<article><h1>A title of the page</h1>{}" + PROSE * 3 + "</article>"
+WORDS = PROSE[3:-4]
+
+
+def test_only_what_is_hidden_is_hidden():
+    for a in ('style="overflow:hidden"', 'class="overflow-hidden"', 'data-hidden="x"', 'hidden="false"', 'style="color:red; overflow: hidden"', 'title="hidden"'):
+        assert WORDS in H.extract(f"<article {a}>" + PROSE * 3 + "</article>")[0]
+    for a in ("hidden", 'hidden=""', 'style="color:red;display: none"', 'style="visibility:hidden !important"', 'aria-hidden="true"'):
+        assert H.extract(f"<article {a}>" + PROSE * 3 + "</article>")[0] == ""
+
+
+def test_text_around_inline_boilerplate_is_one_block():
+    for before in ("", "The start of it "):
+        got = H.extract(ARTICLE.format(f'<p>{before}<span class="ad">Buy <b>now</b></span> rest of a sentence that is long enough to be read.</p>'))[0]
+        assert f"\n\n{before}rest of a sentence that is long enough to be read.\n\n" in got and "Buy" not in got
+    got = H.extract(ARTICLE.format('<p>The start <span class="ad"><div>Buy now</div> cheap</span> and the rest of a sentence that is long enough.</p>'))[0]
+    assert "The start" in got and "and the rest of a sentence that is long enough." in got
+    inner = H.extract("<article><p>So it <a class=form>came</a> that.</p>" + PROSE * 3 + "</article>")[0]
+    assert inner.split("\n\n")[0].startswith("So it ") and inner.split("\n\n")[0].endswith(" that.")
+
+
+def test_one_word_of_a_long_name_says_little():
+    assert H.extract(ARTICLE.format('<section id="privacy-and-law">' + PROSE * 2 + "</section>"))[0].count(WORDS) == 5
+    for a in ('id="comments"', 'class="comment-list"', 'class="sidebar"', 'class="site-footer"'):
+        assert H.extract(ARTICLE.format(f"<section {a}>" + PROSE * 2 + "</section>"))[0].count(WORDS) == 3
+
+
+def test_unclosed_controls_hide_no_block_after_them():
+    for x in ("<select><option>a<option>b", "<button>Press", "<svg><path d='m'>", "<object>x"):
+        got = H.extract(f"<article>{PROSE}{x}{PROSE}<p>The end of it is here, as it should be.</p><button>no</button></article>")[0]
+        assert got.count(WORDS) == 2 and got.endswith("as it should be.") and "Press" not in got
+    assert "no" not in H.extract(ARTICLE.format("<button><div>no way</div></button>"))[0]
+
+
+def made_page(rng, named):
+    """A page whose blocks are known: (html, texts of content, texts of boilerplate)."""
+    made: dict = {True: [], False: []}
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(400)]
+
+    def say(n, content, end=""):
+        t = " ".join(rng.choices(vocab, k=n)) + end
+        made[content].append(t)
+        return t
+
+    def boilerplate(kind):
+        name = f' class="{rng.choice(kind)}"' if rng.random() < named else ' class="' + rng.choice(("c1", "box", "x9")) + '"'
+        inside = ""
+        for _ in range(rng.randint(3, 9)):
+            r = rng.random()
+            inside += f"<li><a href=x>{say(rng.randint(1, 4), False)}</a></li>" if r < 0.75 else f"<li>{say(rng.randint(2, 5), False)}</li>" if r < 0.9 else f"<p>{say(rng.randint(8, 16), False, '.')}</p>"
+        return f"<div{name}><ul>{inside}</ul></div>"
+
+    body = f"<h1>{say(rng.randint(3, 8), True)}</h1>"
+    for _ in range(rng.randint(5, 14)):
+        r = rng.random()
+        if r < 0.6:
+            body += f"<p>{say(rng.randint(20, 70), True, '.')}</p>"
+        elif r < 0.75:
+            body += f"<p>{say(rng.randint(1, 4), True, rng.choice(('.', '', ':')))}</p>"
+        elif r < 0.85:
+            body += "<ul>" + "".join(f"<li>{say(rng.randint(1, 5), True)}</li>" for _ in range(rng.randint(2, 6))) + "</ul>"
+        elif r < 0.93:
+            body += f"<p><a href=y>{say(rng.randint(2, 6), True)}</a></p>"
+        else:
+            body += f"<blockquote>{say(rng.randint(4, 9), True)}</blockquote>"
+    html = boilerplate(("nav", "menu")) + boilerplate(("sidebar", "related")) + f'<div class="{rng.choice(("c2", "content", "m"))}">{body}</div>' + boilerplate(("comments", "related")) + boilerplate(("footer", "c7"))
+    return html, made[True], made[False]
+
+
+def test_the_cut_betters_the_labels():
+    rng = random.Random(5)
+    wrong = {"alone": 0, "cut": 0}
+    n = changed = 0
+    for _ in range(300):
+        html, content, _ = made_page(rng, 0.3)
+        bs = H.blocks(html)
+        z = [H.logit(b) for b in bs]
+        truth = [b.text in set(content) for b in bs]
+        cut = H.min_cut(z, H.edges(bs))
+        n += len(bs)
+        changed += sum(a != (x > 0) for a, x in zip(cut, z, strict=True))
+        wrong["alone"] += sum((x > 0) != t for x, t in zip(z, truth, strict=True))
+        wrong["cut"] += sum(a != t for a, t in zip(cut, truth, strict=True))
+    assert changed > 0.05 * n and wrong["cut"] < 0.65 * wrong["alone"] and wrong["cut"] < 0.1 * n
+
+
+def test_flow_on_long_pages():
+    rng = random.Random(6)
+    begin = time.process_time()
+    n = 30_000
+    for z in ([rng.uniform(-2, 2) for _ in range(n)], [1.0 if i % 200 < 100 else -1.0 for i in range(n)], [3.0] + [-0.01] * (n - 1)):
+        assert len(H.min_cut(z, [(i, i + 1, 0.8) for i in range(n - 1)] + [(i, i + 2, 0.3) for i in range(n - 2)])) == n
+    assert time.process_time() - begin < 60
