@@ -11,21 +11,22 @@ alone. After training the statistics are frozen, so the code lengths of all
 per byte. Contexts that were seen fewer than ``MIN_CONTEXT`` times in all are
 pruned, which makes the order variable.
 
-Training takes at most ``TRAIN_DOCS`` documents a language and, of those, at most
-``TRAIN_BYTES`` bytes a language: a bounded sample drawn by a hash of doc_id. Of a
-text longer than ``TRAIN_CHARS`` characters it takes the start.
+Training takes at most ``TRAIN_DOCS`` documents a language, a bounded sample drawn by
+a hash of doc_id, each as a whole: their runs of ``ORDER`` + 1 bytes are counted where
+the texts are, and the counts of the ``MAX_GRAMS`` most frequent ones make the tables.
 """
 
 from __future__ import annotations
 
 import io
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -37,10 +38,10 @@ MAX_CONTEXTS = 24_000
 #: The most frequent bytes are symbols of their own; rarer ones share one.
 MAX_SYMBOLS = 127
 TRAIN_DOCS = 400
-TRAIN_BYTES = 4_000_000
-#: A longer text trains with as many characters from its start.
-TRAIN_CHARS = 200_000
+#: Runs of bytes, over all languages, that reach the driver.
+MAX_GRAMS = 2_000_000
 UNDETERMINED = "und"
+RANGE = 1 << 40  # of hashes
 SCHEMA = "lang string, score double, bits_per_byte double"
 
 
@@ -59,17 +60,23 @@ class Model:
     @staticmethod
     def train(texts: dict[str, list[bytes]]) -> Model:
         """texts: by language. Languages without a text are left out."""
-        langs = sorted(k for k, v in texts.items() if any(v))
-        joined = {k: np.frombuffer(b"\n\n\n" + b"\n\n\n".join(texts[k]), np.uint8) for k in langs}
+        return Model.of_counts({k: count_grams(v) for k, v in texts.items()})
+
+    @staticmethod
+    def of_counts(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+        """counts: by language its runs of ORDER + 1 bytes, as numbers, and how often each occurs."""
+        langs = sorted(k for k, (g, _) in counts.items() if len(g))
         seen = np.zeros(256, np.int64)
-        for b in joined.values():
-            seen += np.bincount(b, minlength=256)
+        for k in langs:
+            seen += np.bincount(counts[k][0] & 255, counts[k][1], 256).astype(np.int64)
         known = np.sort(np.argsort(-seen, kind="stable")[: min(MAX_SYMBOLS, int((seen > 0).sum()))])
         symbol = np.zeros(256, np.int64)  # 0 stands for every other byte
         if not langs:
             return Model([], symbol, np.zeros(1, np.int32), np.zeros((1, 0), np.float32), 1)
         symbol[known] = np.arange(1, len(known) + 1)
-        return Model(langs, symbol, *_tables([symbol[joined[k]] for k in langs], len(known) + 1))
+        a = len(known) + 1
+        grams = [sum(symbol[counts[k][0] >> 8 * j & 255] * a**j for j in range(ORDER + 1)) for k in langs]
+        return Model(langs, symbol, *_tables(grams, [counts[k][1] for k in langs], a))
 
     def score(self, arr: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For some rows at a time: their indices, their bytes, and bits in each language."""
@@ -116,18 +123,30 @@ class Model:
         return Model([str(x) for x in z["langs"]], z["symbol"], z["contexts"], z["bits"], int(z["size"]))
 
 
-def _tables(texts: list[np.ndarray], a: int) -> tuple[np.ndarray, np.ndarray, int]:
-    grams = []
-    for s in texts:  # code of (context of ORDER symbols, symbol) at each position
-        g = s[ORDER:].copy()
-        for k in range(1, ORDER + 1):
-            g += s[ORDER - k : -k] * a**k
-        grams.append(g)
+def count_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ORDER + 1 bytes of whole texts, each preceded by line feeds and ended by one; and how often each occurs."""
+    found = []
+    for t in texts:
+        if t:
+            b = np.frombuffer(b"\n" * ORDER + t + b"\n", np.uint8).astype(np.int64)
+            found.append(sum(b[ORDER - j : len(b) - j] << 8 * j for j in range(ORDER + 1)))
+    return np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+
+
+def _counted(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of several counts."""
+    g, back = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    return g, np.bincount(back, np.concatenate([n for _, n in found]), len(g)).astype(np.int64)
+
+
+def _tables(grams: list[np.ndarray], times: list[np.ndarray], a: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """grams: by language codes of (context of ORDER symbols, symbol)."""
+    texts = grams
     rows: list[np.ndarray] = []
     parent_cost = np.full((1, a, len(texts)), np.log2(a), np.float32)
     lookup = np.zeros(1, np.int64)
     for order in range(ORDER + 1):
-        per = [np.unique(g % a ** (order + 1), return_counts=True) for g in grams]
+        per = [_counted([(g % a ** (order + 1), n)]) for g, n in zip(grams, times, strict=True)]
         total = np.bincount(np.concatenate([u // a for u, _ in per]), np.concatenate([n for _, n in per]), a**order)
         keep = np.flatnonzero(total >= (MIN_CONTEXT if order else 0))
         if order and len(keep) > MAX_CONTEXTS:
@@ -154,38 +173,48 @@ def _tables(texts: list[np.ndarray], a: int) -> tuple[np.ndarray, np.ndarray, in
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train=None) -> Model:
-    """Train on the rows for which the Column ``train`` holds (all if None) and lang is not null."""
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    """Train on the rows for which the Column ``train`` holds (all if None) with an id, a text and a lang."""
+    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     if train is not None:
         rows = rows.where(train)
-    order = F.xxhash64(F.lit("langid"), F.col(key))
-    ids = rows.select(F.col(key).alias("__id"), F.col(lang).alias("__lang")).withColumn("__n", F.row_number().over(Window.partitionBy("__lang").orderBy(F.xxhash64(F.lit("langid"), F.col("__id")), "__id"))).where(F.col("__n") <= TRAIN_DOCS).select("__id", "__n")
-    picked = ids.collect()  # at most TRAIN_DOCS ids a language
     spark = df.sparkSession
-    want = spark.createDataFrame([(r[0],) for r in picked], "__id long").distinct()
-    got = rows.select(F.col(key).alias("__id"), F.col(text).alias("__text"), F.col(lang).alias("__lang"), order.alias("__o")).join(F.broadcast(want), "__id")
-    starts = got.withColumn("__text", F.substring("__text", 1, TRAIN_CHARS)).toLocalIterator()
-    texts: dict[str, list[tuple[int, int, bytes]]] = {}
-    for r in starts:
-        texts.setdefault(r["__lang"], []).append((r["__o"], r["__id"], _normal(pa.array([r["__text"]]))[0].as_py().encode("utf-8", "replace")))
-    bounded = {}
-    for k, v in texts.items():
-        held, out = 0, []
-        for _, _, b in sorted(v):
-            if held + len(b) > TRAIN_BYTES:
-                break
-            held += len(b)
-            out.append(b)
-        bounded[k] = out
-    return Model.train(bounded)
+    small_batches(spark)
+    rows = rows.select(F.col(key).alias("__id"), F.col(lang).alias("__lang"), F.col(text).alias("__text"), F.abs(F.xxhash64(F.lit("langid"), F.col(key)) % RANGE).alias("__o"))
+    # a share of each language's rows that holds enough of them, then the first ones by hash: no language is ordered in one task
+    share = rows.groupBy("__lang").agg(F.least(F.lit(RANGE), F.ceil(F.lit(3.0 * TRAIN_DOCS * RANGE) / F.count(F.lit(1)))).alias("__most"))
+    some = rows.drop("__text").join(F.broadcast(share), "__lang").where(F.col("__o") <= F.col("__most")).select("__lang", "__o", "__id").distinct().collect()
+    want = []
+    held: Counter = Counter()
+    for r in sorted(some):
+        held[r["__lang"]] += 1
+        if held[r["__lang"]] <= TRAIN_DOCS:
+            want.append((r["__id"], r["__lang"]))
+    ids = spark.createDataFrame(want, rows.select("__id", "__lang").schema)
+    got = rows.join(F.broadcast(ids), ["__id", "__lang"]).select("__lang", "__text")
+    grams = got.mapInArrow(tidy(_count_rows), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS).toArrow()
+    by_lang = grams["lang"].to_numpy()
+    gram, n = grams["gram"].to_numpy(), grams["n"].to_numpy()
+    return Model.of_counts({k: (gram[by_lang == k], n[by_lang == k]) for k in set(by_lang)})
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n) of some rows of (lang, text)."""
+    for batch in batches:
+        found: dict[str, list] = {}
+        for k, t in zip(batch.column(0).to_pylist(), _normal(batch.column(1)).to_pylist(), strict=True):
+            found.setdefault(k, []).append(count_grams([t.encode("utf-8", "replace")]))
+        for k, v in found.items():
+            g, n = _counted(v)
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(g), pa.string()), pa.array(g), pa.array(n)], names=["lang", "gram", "n"])
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
     """Add the struct column ``into``: lang, score (posterior of lang under equal priors), bits_per_byte.
 
     lang is ``und`` with score 0 if text is null or has no letter, or if nothing
-    was learned. Ties go to the first language in code-point order. Rows are
-    kept as they are, repeated ones included; other columns pass through.
+    was learned. Ties go to the first language in code-point order. Texts of any length
+    are scored as a whole. Rows are kept as they are, repeated ones included; other columns
+    pass through, one of the name ``into`` is replaced; an empty table gives no rows.
     """
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model.to_bytes())
