@@ -11,13 +11,15 @@ curve fitted on training documents so that 0.7 separates the labels best.
 Lines have no labels of their own. Training starts from the document's label;
 a second round takes the lines of bad documents as the first model labels them,
 the worst one staying bad. It uses at most ``MAX_TRAIN`` documents, drawn by a
-hash of doc_id, each by its first ``MAX_TRAIN_LINES`` lines and ``MAX_TRAIN_CHARS``
-characters; scoring covers all rows and lines.
+hash of doc_id. A document of more than ``RUNS`` * ``RUN_LINES`` lines trains with
+``RUNS`` runs of neighbouring lines drawn from all of it by a hash; features come from the
+whole text, where the text is, and only they reach the driver. Scoring covers all rows and lines.
 """
 
 from __future__ import annotations
 
 import io
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,11 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Chunk, bounded_ids, chunks, crc_mod, ids_frame, small_batches
+from .common import Chunk, bounded_ids, chunks, crc_mod, ids_frame, mix, small_batches, tidy
 
 MAX_TRAIN = 5000
-MAX_TRAIN_LINES = 400
-MAX_TRAIN_CHARS = 40_000
+RUNS, RUN_LINES = 4, 50
 THRESHOLD = 0.7
 
 #: Kinds of bytes: 0 lower-case letter, 1 upper-case letter, 2 digit, 3 space, 4 bar,
@@ -164,47 +165,75 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _fit_lines(x: np.ndarray, first: np.ndarray, y: np.ndarray, start: Model, weight: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Model:
-    """Maximum conditional likelihood by Adam; the gradient is observed minus expected counts."""
-    w = np.concatenate((start.weight, start.turn.ravel()))
-    m1, m2 = np.zeros_like(w), np.zeros_like(w)
+def gradient(m: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected minus observed counts of features and of neighbouring labels, by weight: the slope of minus the log-likelihood."""
     inner = np.ones(len(x), bool)
     inner[first] = False
     inner = np.flatnonzero(inner)
+    a, b, mats = m.messages(x, first)
+    p = a * b
+    p = p[:, 1] / p.sum(1)
+    xi = a[inner - 1][:, :, None] * mats[inner] * b[inner][:, None, :]
+    xi /= xi.sum(axis=(1, 2), keepdims=True)
     pair = np.bincount(2 * y[inner - 1] + y[inner], weight[inner], 4)
+    return np.concatenate((x.T @ (weight * (p - y)), (xi * weight[inner, None, None]).sum(0).ravel() - pair))
+
+
+def _fit_lines(x: np.ndarray, first: np.ndarray, y: np.ndarray, start: Model, weight: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Model:
+    """Maximum conditional likelihood by Adam."""
+    w = np.concatenate((start.weight, start.turn.ravel()))
+    m1, m2 = np.zeros_like(w), np.zeros_like(w)
     total = weight.sum()
     for k in range(1, steps + 1):
-        m = Model(w[:-4], w[-4:].reshape(2, 2))
-        a, b, mats = m.messages(x, first)
-        p = a * b
-        p = p[:, 1] / p.sum(1)
-        xi = a[inner - 1][:, :, None] * mats[inner] * b[inner][:, None, :]
-        xi /= xi.sum(axis=(1, 2), keepdims=True)
-        g = np.concatenate((x.T @ (weight * (p - y)), (xi * weight[inner, None, None]).sum(0).ravel() - pair)) / total + decay * w
+        g = gradient(Model(w[:-4], w[-4:].reshape(2, 2)), x, first, y, weight) / total + decay * w
         m1 += 0.1 * (g - m1)
         m2 += 0.01 * (g * g - m2)
         w = w - rate * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8)
     return Model(w[:-4], w[-4:].reshape(2, 2))
 
 
-def train(texts: list[bytes], good: np.ndarray) -> Model:
+@dataclass
+class Lines:
+    """Features of a document's training lines, their lengths, and the first line of each run."""
+
+    x: np.ndarray
+    lens: np.ndarray
+    first: np.ndarray
+
+
+def training_lines(c: Chunk) -> Iterator[Lines]:
+    """For each document of a chunk."""
+    x, lens, first = line_features(c)
+    for k, (a, z) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(x)], strict=True)):
+        if z - a <= RUNS * RUN_LINES:
+            yield Lines(x[a:z], lens[a:z], np.zeros(1, np.int64))
+            continue
+        starts = np.arange(a, z, RUN_LINES)
+        seed = np.uint64(zlib.crc32(c.buf[c.starts[k] : c.ends[k]].tobytes()))
+        drawn = np.sort(starts[np.argsort(mix(np.arange(len(starts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seed), kind="stable")[:RUNS]])
+        size = np.minimum(drawn + RUN_LINES, z) - drawn
+        at = np.concatenate([np.arange(p, p + n) for p, n in zip(drawn.tolist(), size.tolist(), strict=True)])
+        yield Lines(x[at], lens[at], np.cumsum(size) - size)
+
+
+def train(docs: list[Lines], good: np.ndarray) -> Model:
     empty = Model(np.zeros(3 * WIDTH), np.zeros((2, 2)), 0.0, float(_logit(np.array(good.mean() if len(good) else 0.5))))
-    if not texts or good.min() == good.max():
+    if not docs or good.min() == good.max():
         return empty
-    parts = [line_features(c) for c in chunks(pa.array(texts, pa.binary()))]
-    before = np.cumsum([0, *(len(x) for x, _, _ in parts)])
-    x, lens = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    first = np.concatenate([p[2] + b for p, b in zip(parts, before, strict=False)])
-    n_lines = np.diff(np.append(first, len(x)))
-    doc = np.repeat(np.arange(len(texts)), n_lines)
+    n_lines = np.array([len(d.x) for d in docs])
+    before = np.cumsum(n_lines) - n_lines
+    x, lens = np.concatenate([d.x for d in docs]).astype(np.float64), np.concatenate([d.lens for d in docs])
+    first = np.concatenate([d.first + b for d, b in zip(docs, before.tolist(), strict=True)])
+    doc = np.repeat(np.arange(len(docs)), n_lines)
     by_doc = good[doc]
-    share = lens / np.add.reduceat(lens, first)[doc]  # each document counts once
+    share = lens / np.bincount(doc, lens)[doc]  # each document counts once
     m = _fit_lines(x, first, by_doc, empty, share)
     p = m.marginals(x, first)
-    cutoff = np.where(np.minimum.reduceat(p, first) < 0.5, 0.5, np.minimum.reduceat(p, first) + 1e-9)
+    worst = np.minimum.reduceat(p, before)
+    cutoff = np.where(worst < 0.5, 0.5, worst + 1e-9)
     m = _fit_lines(x, first, np.where((by_doc == 0) & (p < cutoff[doc]), 0, 1), m, share)
     # the logistic curve: its middle is the cut with the fewest errors, put where the score is THRESHOLD
-    z = _logit(m.mean(x, lens, first))
+    z = _logit(np.bincount(doc, m.marginals(x, first) * share))
     o = np.argsort(z)
     zs, ys = z[o], good[o]
     errors = np.concatenate(([0], np.cumsum(ys == 1))) + np.concatenate((np.cumsum((ys == 0)[::-1])[::-1], [0]))
@@ -221,22 +250,39 @@ def fit(docs: DataFrame, labels: DataFrame, train_row: Column, text: str = "text
     bad = bounded_ids(known.where("__y = 0"), key, MAX_TRAIN // 2, "crf-bad")
     fine = bounded_ids(known.where("__y = 1"), key, MAX_TRAIN // 2, "crf-good")
     y = dict.fromkeys(bad, 0) | dict.fromkeys(fine, 1)
+    small_batches(docs.sparkSession)
     want = ids_frame(docs.sparkSession, sorted(y), "__id")
-    start = F.substring_index(F.substring(text, 1, MAX_TRAIN_CHARS), "\n", MAX_TRAIN_LINES)
-    got = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__id"), start.alias("__text")).join(F.broadcast(want), "__id")
-    rows = sorted({(r["__id"], r["__text"]) for r in got.toLocalIterator()})
-    return train([t.encode() for _, t in rows], np.array([y[i] for i, _ in rows], np.int64))
+    got = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(want), "__id")
+    lines = arrow_udf(_training, "struct<x:array<float>,lens:array<long>,first:array<long>>")
+    rows: dict[tuple, Lines] = {}
+    for r in got.select("__id", F.xxhash64("__text").alias("__h"), lines("__text").alias("__r")).toLocalIterator():
+        x = np.array(r["__r"]["x"], np.float32).reshape(-1, 3 * WIDTH)
+        rows[r["__id"], r["__h"]] = Lines(x, np.array(r["__r"]["lens"], np.int64), np.array(r["__r"]["first"], np.int64))
+    order = sorted(rows)
+    return train([rows[k] for k in order], np.array([y[i] for i, _ in order], np.int64))
+
+
+@tidy
+def _training(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for arr in batches:
+        out: list = [None] * len(arr)
+        for c in chunks(arr):
+            for row, d in zip(c.rows.tolist(), training_lines(c), strict=True):
+                out[row] = {"x": d.x.astype(np.float32).ravel(), "lens": d.lens, "first": d.first}
+        yield pa.array(out, pa.struct([("x", pa.list_(pa.float32())), ("lens", pa.list_(pa.int64())), ("first", pa.list_(pa.int64()))]))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", into: str = "quality_score") -> DataFrame:
     """Add the double column ``into``, 0 to 1. A null text counts as one empty line, as an empty text does.
 
-    Rows are kept as they are, repeated ones included; other columns pass through.
+    Texts of any length are scored as a whole. Rows are kept as they are, repeated ones included;
+    other columns pass through, one of the name ``into`` is replaced; an empty table gives no rows.
     """
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model.to_bytes())
 
     @arrow_udf("double")
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = Model.from_bytes(shared.value)
         empty = float(m.score(Chunk(np.zeros(1, int), [b""]))[0])
