@@ -95,6 +95,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def risk(g: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The estimate of the risk, and what is followed to lower it: its gradient by each text's logit."""
+    p, u = is_p / max(1, is_p.sum()), ~is_p / max(1, (~is_p).sum())
+    s = _sigmoid(g)
+    loss = np.logaddexp(0, g)  # l(-g), with the slope s; l(g) = l(-g) - g has the slope s - 1
+    positive, negative = prior * p @ (loss - g), u @ loss - prior * p @ loss
+    return positive + max(0.0, negative), prior * p * (s - 1) + (negative >= 0) * (u * s - prior * p * s)
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 400, batches: int = 1, rate: float = 0.1, decay: float = 5e-5) -> Model:
     """positive, unlabelled: the feature buckets of each text."""
     size = 1 << BITS
@@ -128,15 +137,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
                 flat = np.concatenate([rows[i] for i in ids])
                 doc = np.repeat(np.arange(len(ids)), lens)
                 g = w[-1] + np.bincount(doc, w[flat], len(ids))
-                s = _sigmoid(g)
-                is_p = np.arange(len(ids)) < len(p)
-                loss = np.logaddexp(0, g)  # l(-g), with the slope s; l(g) has the slope s - 1
-                negative = loss[~is_p].mean() - prior * loss[is_p].mean()
-                push = np.where(is_p, -prior * s / len(p), s / len(u))  # of E_U[l(-g)] - pi E_P[l(-g)]
-                if negative >= 0:
-                    grad = np.where(is_p, prior * (s - 1) / len(p), 0) + push
-                else:
-                    grad = np.where(is_p, prior * (s - 1) / len(p), 0)
+                grad = risk(g, np.arange(len(ids)) < len(p), prior)[1]
                 gw = np.append(np.bincount(flat, grad[doc], len(w) - 1), grad.sum()) + decay * np.append(w[:-1], 0)
                 step += 1
                 m1 += 0.1 * (gw - m1)
@@ -161,7 +162,11 @@ def _features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_row: Column, text: str = "text", key: str = "doc_id", toxic: str = "toxic") -> Model:
-    """train_row: a Column over ``key`` that says which rows may be learned from."""
+    """train_row: a Column over ``key`` that says which rows may be learned from.
+
+    Labels without an id or a value are not used; of several labels of an id the highest counts,
+    and of several texts of an id the last one read. Without positives every text is taken for clean.
+    """
     small_batches(docs.sparkSession)
     known = labels.where(F.col(key).isNotNull() & F.col(toxic).isNotNull() & train_row).groupBy(key).agg(F.max(toxic).alias("__y"))
     prior = known.agg(F.avg("__y")).first()[0] or 0.0
@@ -177,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_row: Column, text: str = "text
 def score(df: DataFrame, model: Model, text: str = "text", into: str = "toxicity") -> DataFrame:
     """Add the double column ``into``, 0 to 1. Null and empty texts get the score of a text without words.
 
-    Rows are kept as they are, repeated ones included; other columns pass through.
+    Texts of any length are scored as a whole. Rows are kept as they are, repeated ones included;
+    other columns pass through, one of the name ``into`` is replaced; an empty table gives no rows.
     """
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model.to_bytes())
