@@ -1,6 +1,7 @@
 """Language, toxicity and quality: exact figures on small models, held-out accuracy, odd inputs."""
 
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import langid, quality, toxicity
-from lattica.llm.common import Chunk, table
+from lattica.llm.common import Chunk, hash_text, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -50,7 +51,7 @@ def test_code_lengths():
     texts = ["the cat", "that tapis zz", "", "q", "le chat et the mat " * 20000]
     got = {i: x for rows, _, bits in m1.score(pa.array(texts)) for i, x in zip(rows.tolist(), bits[:, 0].tolist(), strict=True)}
     for i, t in enumerate(texts[:4]):
-        assert got[i] == pytest.approx(brute_bits(a, t.encode(), langid.ORDER, langid.MIN_CONTEXT), rel=1e-4, abs=1e-3)
+        assert got[i] == pytest.approx(brute_bits(a + b"\n", t.encode(), langid.ORDER, langid.MIN_CONTEXT), rel=1e-4, abs=1e-3)
     assert got[4] > 1000
     both = {i: x for rows, _, bits in m.score(pa.array(texts)) for i, x in zip(rows.tolist(), bits.tolist(), strict=True)}
     assert both[0][0] < both[0][1]
@@ -130,14 +131,84 @@ def test_line_features_stay_in_documents():
     assert first.tolist() == [0, 2, 3] and lens.tolist() == [4, 2, 1, 2, 2] and x[4, 12] == 1 and x[3, 12] == 0
 
 
-def test_long_texts_train_too(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "the cat sat on the mat and ran " * 50, "en"), (2, "der hund und die katze laufen " * 9000, "de")], "doc_id long, text string, lang string")
-    got = langid.predict(docs, langid.fit(docs)).select("doc_id", "language.lang").collect()
-    assert sorted(map(tuple, got)) == [(1, "en"), (2, "de")]
-    seen = []
-    monkeypatch.setattr(quality, "train", lambda texts, good: seen.append((texts, good)))
-    docs = spark.createDataFrame([(1, "a line\n" * 500), (2, "x" * 50000), (3, "short")], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "doc_id long, quality int")
-    quality.fit(docs, labels, F.lit(True))
-    (texts, good), = seen
-    assert [len(x) for x in texts] == [7 * 400 - 1, 40000, 5] and good.tolist() == [0, 0, 1]
+def test_whole_texts_train(spark):
+    """The last words of long texts are learned as the first ones are."""
+    late = " ".join(["der hund und die katze laufen"] * 9000 + ["zebra yacht xylophon"] * 400)
+    docs = spark.createDataFrame([(1, "the cat sat on the mat and ran " * 50, "en"), (2, late, "de"), (None, "le chat", "fr"), (3, "x", None), (4, "", "it")], "doc_id long, text string, lang string")
+    m = langid.fit(docs)
+    assert m.langs == ["de", "en"]  # a row without an id is not learned from
+    got = langid.predict(spark.createDataFrame([(1, "zebra yacht xylophon"), (2, "the cat")], "id long, text string"), m).select("language.lang").collect()
+    assert [r[0] for r in got] == ["de", "en"]
+
+
+def test_training_documents_of_a_language(spark, monkeypatch):
+    """The first ones by hash, as many as there may be, of each language."""
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 20)
+    rows = [(i, f"{'abc'[i % 3]}{i} ", "abc"[i % 3]) for i in range(900)] + [(1000, "d1000 ", "d")]
+    seen = {}
+    monkeypatch.setattr(langid.Model, "of_counts", staticmethod(lambda c: seen.update(c)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langid.fit(df)
+    order = df.select("doc_id", "lang", "text", F.abs(F.xxhash64(F.lit("langid"), "doc_id") % langid.RANGE).alias("o")).collect()
+    for k in "abcd":
+        texts = [r["text"] for r in sorted((r for r in order if r["lang"] == k), key=lambda r: (r["o"], r["doc_id"]))[:20]]
+        g, n = langid.count_grams([t.encode() for t in texts])
+        mine = dict(zip(*(x.tolist() for x in seen[k]), strict=True))
+        assert mine == dict(zip(g.tolist(), n.tolist(), strict=True))
+
+
+def test_training_lines_are_drawn_from_all_of_a_text():
+    n = 5000
+    c = Chunk(np.arange(2), ["\n".join(f"line {i}" for i in range(n)).encode(), b"a\nb"])
+    long, short = quality.training_lines(c)
+    x = quality.line_features(c)[0]
+    assert len(long.x) == quality.RUNS * quality.RUN_LINES and len(short.x) == 2 and short.first.tolist() == [0]
+    places = [next(i for i in range(0, n, quality.RUN_LINES) if np.array_equal(x[i : i + quality.RUN_LINES], long.x[f : f + quality.RUN_LINES])) for f in long.first]
+    assert len(places) == quality.RUNS and max(places) > quality.RUNS * quality.RUN_LINES
+
+
+def test_gradient_of_the_field():
+    rng = np.random.default_rng(4)
+    x, first, y = rng.normal(size=(9, 3)), np.array([0, 4, 5]), rng.integers(0, 2, 9)
+    weight = np.repeat([1.0, 2.5, 0.5], [4, 1, 4])
+
+    def loss(w):
+        out = 0.0
+        for (lo, hi), k in zip(((0, 4), (4, 5), (5, 9)), (1.0, 2.5, 0.5), strict=True):
+            say = lambda s: sum(x[lo + t] @ w[:3] for t in range(hi - lo) if s[t]) + sum(w[3 + 2 * a + b] for a, b in zip(s, s[1:], strict=False))  # noqa: B023,E731
+            out -= k * (say(y[lo:hi].tolist()) - np.log(sum(np.exp(say(s)) for s in itertools.product((0, 1), repeat=hi - lo))))
+        return out
+
+    w = rng.normal(size=7)
+    got = quality.gradient(quality.Model(w[:3], w[3:].reshape(2, 2)), x, first, y, weight)
+    want = [(loss(w + 1e-5 * e) - loss(w - 1e-5 * e)) / 2e-5 for e in np.eye(7)]
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_risk_and_its_gradient():
+    rng = np.random.default_rng(6)
+    is_p = np.arange(40) < 15
+    signs = set()
+    for scale, prior in ((0.5, 0.1), (2.0, 0.4), (5.0, 0.9)):
+        for _ in range(20):
+            g = rng.normal(size=40) * scale
+            log_loss = lambda z: np.log1p(np.exp(-z))
+            negative = log_loss(-g[~is_p]).mean() - prior * log_loss(-g[is_p]).mean()
+            signs.add(negative > 0)
+            assert np.isclose(toxicity.risk(g, is_p, prior)[0], prior * log_loss(g[is_p]).mean() + max(0, negative))
+            if abs(negative) > 1e-3:
+                want = [(toxicity.risk(g + 1e-5 * e, is_p, prior)[0] - toxicity.risk(g - 1e-5 * e, is_p, prior)[0]) / 2e-5 for e in np.eye(40)]
+                assert np.allclose(toxicity.risk(g, is_p, prior)[1], want, atol=1e-6)
+    assert signs == {True, False}
+
+
+def test_scores_against_brute_force(spark):
+    """A score is the logistic curve of the bias and the weights of the distinct words of the whole text."""
+    rng = np.random.default_rng(7)
+    m = toxicity.Model(rng.normal(size=1 << toxicity.BITS), -0.3)
+    texts = ["You IDIOT you", "", None, "été 12 x", "a b c " * 60_000 + "last"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(df, m).collect():
+        words = set(re.findall(r"[a-z\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in r["text"] or "")))
+        g = -0.3 + sum(m.weight[i] for i in {hash_text(w) >> 64 - toxicity.BITS for w in words})
+        assert r["toxicity"] == pytest.approx(1 / (1 + np.exp(-g)))
