@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,10 +38,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is set, as in tests."""
+    """The folder all executors share; a temporary one only on a local master without one, as in tests."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
-        d = "/tmp/lattica-checkpoint"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        d = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
 
@@ -54,8 +58,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished steps that nothing refers to any more."""
+    """Let Spark drop shuffle files of finished steps that nothing refers to any more, to save disk; no result depends on it."""
     import gc
 
     gc.collect()

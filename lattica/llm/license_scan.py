@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import as_bytes, small_batches, struct
+from .common import as_bytes, small_batches, struct, tidy
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -198,10 +198,12 @@ def _scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def scan(df: DataFrame, text: str = "text", into: str = "licence") -> DataFrame:
     """Add the struct column ``into``. Null texts count as empty: no words, no labels, score 0.
 
-    Rows are kept as they are, repeated ones included; other columns pass through.
+    Texts of any length are read as a whole. A word that ends one phrase may begin the next;
+    all places count. Rows are kept as they are, repeated ones included; other columns pass
+    through, one of the name ``into`` is replaced; an empty table gives no rows.
     """
     small_batches(df.sparkSession)
-    return df.withColumn(into, arrow_udf(_scan, SCHEMA)(F.col(text)))
+    return df.withColumn(into, arrow_udf(tidy(_scan), SCHEMA)(F.col(text)))
 
 
 def contract(docs: DataFrame) -> DataFrame:

@@ -319,7 +319,12 @@ def intervals(patterns: list[Pattern]) -> dict[str, np.ndarray]:
 
 
 def pack(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Each piece with its sequence_id and its offset there. An empty table has no pieces."""
+    """Each piece with its sequence_id and its offset there.
+
+    Texts of any length are encoded as a whole; null and empty ones have the end id alone.
+    Repeated rows and rows without an id are packed as often as they occur; equal lengths
+    are packed in any order. Other columns are not read. An empty table has no pieces.
+    """
     p = cut(pieces(df, text, key, capacity, tokenizer))
     by_chunk = p.groupBy("chunk", "length").agg(F.count(F.lit(1)).alias("n"))
     lengths = {r["length"]: r["n"] for r in by_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Chunk, chunks, small_batches
+from .common import Chunk, chunks, small_batches, tidy
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 RULES = ("first", "majority", "share")
@@ -87,14 +87,16 @@ SECTION = pa.struct([("section", pa.int32()), ("start", pa.int64()), ("end", pa.
 def count_by_line(df: DataFrame, text: str = "text", into: str = "sections", rule: str = "first", tokenizer: str = TOKENIZER) -> DataFrame:
     """Add the array column ``into``: for each line (with its line feed) its characters, tokens and crossing tokens.
 
-    A null or empty text has one empty section without tokens. Rows are kept as
-    they are, repeated ones included; other columns pass through.
+    A null or empty text has one empty section without tokens; texts of any length are
+    encoded as a whole. Rows are kept as they are, repeated ones included; other columns
+    pass through, one of the name ``into`` is replaced; an empty table gives no rows.
     """
     if rule not in RULES:
         raise ValueError(f"unknown rule: {rule}")
     small_batches(df.sparkSession)
 
     @arrow_udf("array<struct<section:int,start:long,end:long,n_tokens:double,n_crossing:long>>")
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding, lens = load(tokenizer)
         for arr in batches:

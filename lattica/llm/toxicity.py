@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_row: Column, text: str = "text
     """train_row: a Column over ``key`` that says which rows may be learned from.
 
     Labels without an id or a value are not used; of several labels of an id the highest counts,
-    and of several texts of an id the last one read. Without positives every text is taken for clean.
+    and of several texts of an id the one with the smallest hash. Without positives every text is taken for clean.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col(key).isNotNull() & F.col(toxic).isNotNull() & train_row).groupBy(key).agg(F.max(toxic).alias("__y"))
@@ -174,8 +174,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_row: Column, text: str = "text
     u = bounded_ids(docs.where(train_row), key, MAX_UNLABELLED, "pu-unlabelled")
     spark = docs.sparkSession
     want = ids_frame(spark, sorted({*p, *u}), "__id")
-    got = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(want), "__id").select("__id", arrow_udf(tidy(_features), "array<int>")("__text").alias("__f"))
-    feats: dict[int, np.ndarray] = {r["__id"]: np.array(r["__f"], np.int64) for r in got.toLocalIterator()}
+    got = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(want), "__id").select("__id", F.xxhash64("__text").alias("__h"), arrow_udf(tidy(_features), "array<int>")("__text").alias("__f"))
+    of_id: dict[int, tuple[int, np.ndarray]] = {}
+    for r in got.toLocalIterator():
+        if r["__id"] not in of_id or r["__h"] < of_id[r["__id"]][0]:
+            of_id[r["__id"]] = r["__h"], np.array(r["__f"], np.int64)
+    feats = {i: f for i, (_, f) in of_id.items()}
     return train([feats[i] for i in p if i in feats], [feats[i] for i in u if i in feats], float(prior))
 
 

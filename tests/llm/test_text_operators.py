@@ -142,3 +142,44 @@ def test_packing(spark):
         assert g.offset.tolist() == [0, *g.length.cumsum()[:-1].tolist()] and g.length.sum() <= 4096
     assert r.sequence_id.nunique() <= 1.01 * r.length.sum() / 4096 + 1
     assert P.contract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rule", T.RULES)
+def test_sections_of_whole_documents(spark, rule):
+    """Every token of a document, one by one, put to the lines that its bytes lie in."""
+    texts = [r["text"] or "" for r in table(spark, SF, "documents").collect()][:60] + ["a\n\n\n  b\r\n\r\nc é\n日本", "\n" * 9 + "x", "  \n  \n"]
+    encoding, _ = T.load()
+    got = T.count_by_line(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), rule=rule).collect()
+    for r in got:
+        b = texts[r["id"]].encode()
+        lines = b.splitlines(keepends=True) if b"\r" not in b else [x + b"\n" for x in b.split(b"\n")]
+        if b"\r" in b:
+            lines = [*lines[:-1], lines[-1][:-1]]
+        lines = [x for x in lines if x] or [b""]
+        line_of = [k for k, x in enumerate(lines) for _ in x]
+        want, at = [0.0] * len(lines), 0
+        for token in encoding.encode_ordinary(b.decode()):
+            size = len(encoding.decode_single_token_bytes(token))
+            own = line_of[at : at + size]
+            at += size
+            if rule == "first":
+                want[own[0]] += 1
+            elif rule == "majority":
+                want[max(sorted(set(own)), key=lambda k: (own.count(k), -k))] += 1
+            else:
+                for k in own:
+                    want[k] += 1 / size
+        assert np.allclose([s["n_tokens"] for s in r["sections"]], want) and at == len(b)
+
+
+def test_licence_odd_rows(spark):
+    df = spark.createDataFrame([(1, "CC BY\nSPDX-License-Identifier: MIT", "x"), (1, "CC BY\nSPDX-License-Identifier: MIT", "x"), (None, None, None)], "doc_id long, text string, licence string")
+    got = L.contract(df).collect()
+    assert len(got) == 3 and got[0] == got[1] or got[0]["labels"] == "cc-by,mit"
+    assert L.scan(df, into="found").select("licence", "found.labels").count() == 3 and L.scan(df).select("licence.labels").count() == 3
+
+
+def test_packing_odd_rows(spark):
+    df = spark.createDataFrame([(1, "a b c", 1), (1, "a b c", 1), (None, "x", 2), (2, "word " * 300_000, 3)], "doc_id long, text string, piece int")
+    r = P.contract(df).toPandas()
+    assert (r.doc_id == 1).sum() == 2 and r.doc_id.isna().sum() == 1 and r[r.doc_id == 2].length.sum() == 300_001
