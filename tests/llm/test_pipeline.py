@@ -35,3 +35,24 @@ def test_empty(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_odd_documents(spark, tmp_path):
+    """Very long texts, clashing columns, repeated ids with unequal texts, and nulls."""
+    docs = table(spark, SF, "documents")
+    first = docs.first()
+    long = " ".join(r["text"] or "" for r in docs.limit(60).collect()) * 8
+    more = [(9_000_001, long, first["lang"], "s", len(long)), (9_000_002, None, None, None, None), (None, first["text"], "en", "s", 1), (9_000_003, first["text"] + " one", "en", "s", 1), (9_000_003, "other words altogether that stand here for once", "en", "s", 1)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    docs = docs.selectExpr("*", "doc_id as __language", "text as id", "1 as component_id", "2 as n", "'x' as score", "3 as leaks")
+    for k, (name, stage) in enumerate(cp.STAGES[:-1]):
+        results = []
+        for parts in (3, 7):
+            stage(spark, docs.drop("__language").repartition(parts), SF).write.parquet(str(tmp_path / f"{name}{parts}"))
+            results.append(spark.read.parquet(str(tmp_path / f"{name}{parts}")))
+        a, b = results
+        assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0 and a.columns == docs.drop("__language").columns
+        docs = a
+        ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+        assert None in ids or k > 2
+        assert 9_000_002 not in ids
