@@ -21,7 +21,6 @@ gathered in one task.
 from __future__ import annotations
 
 import bisect
-import json
 import os
 import re
 import zlib
@@ -41,7 +40,7 @@ CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Words kept with their ids by each worker: about 40 bytes each.
-MAX_WORDS = 400_000
+MAX_WORDS = 300_000
 WORD_END = "</w>"
 #: The tokenizer's own parts of a word; it lowers case, so that A-Z can be lowered before.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+", re.I)
@@ -67,15 +66,15 @@ class WordTokenizer:
     def __init__(self, name: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         vocab = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocab.values()) + 1, bool)
         self.is_end[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
-        # the same model without normalizer, for words that are prepared here
-        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
-        self.bare = Tokenizer.from_str(json.dumps(bare))
+        del vocab
+        # the model is used without its normalizer for words that are prepared here
+        self._ways = {True: (None, pre_tokenizers.WhitespaceSplit()), False: (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)}
         probe = ["plain", "été", "größe", "niño", "øre", "ćwiek"]
         if self._bare(probe).tolist() != self.tokenizer.encode(" ".join(probe), add_special_tokens=False).ids:
             raise ValueError(f"{name} is not a tokenizer of lower-cased words")
@@ -91,7 +90,11 @@ class WordTokenizer:
     def _bare(self, words: list[str]) -> np.ndarray:
         """Ids of words of letters up to U+02FF, where lower case and composition are a matter of single characters."""
         text = " ".join(words).lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self._ways[True]
+        try:
+            return self._many([text])
+        finally:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self._ways[False]
 
     def _many(self, words: list[str]) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
@@ -155,9 +158,6 @@ class WordTokenizer:
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def _groups(texts: list[bytes | None]) -> Iterator[list[bytes]]:
     part: list[bytes] = []
     held = 0
@@ -180,7 +180,7 @@ def pieces(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizers.get(tokenizer) or _tokenizers.setdefault(tokenizer, WordTokenizer(tokenizer))
+        tok = WordTokenizer(tokenizer)  # for this task alone: workers outlive it, and an executor may have many
         chunk = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
