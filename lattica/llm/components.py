@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, tidy
 
 #: So few links are followed by union-find in one task (16 bytes each); more by rounds over the cluster.
 FEW_LINKS = 500_000
+HOT_KEYS = 1000
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -63,23 +64,54 @@ def _digest(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first())
 
 
-def blocked(df: DataFrame, keys: list[str], member: str, limit: int, no_single: bool = False) -> DataFrame:
+def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Each of ``total`` rows with its group; groups: one row for each key, with its number of rows in the column ``size``.
+
+    Groups of a thousandth of all rows or more, of which there are HOT_KEYS at most, are
+    broadcast, so their rows stay where they are; the others are joined by a shuffle.
+    """
+    least = max(2, total // HOT_KEYS)
+    hot, cold = F.broadcast(groups.where(F.col(size) >= least)), groups.where(F.col(size) < least)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
+def blocked(df: DataFrame, keys: list[str], member: str, limit: int) -> DataFrame:
     """Rows of keys with two members at least, with columns ``own``, ``lo``, ``hi``.
 
     A key of up to ``limit`` members is one block pair (0, 0). A larger one is split
     into blocks of about that size by a hash of the member, and each row goes to all
     block pairs with its block, so that every two members meet in exactly one of
     them if in different blocks; within a block they meet in (own, own).
-    no_single: every key is known to have two members, so that no join is needed where all fit one block.
     """
     size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    if no_single and size.where(F.col("__n") > limit).isEmpty():
-        return df.withColumns({"own": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)})
     size = size.where("__n > 1").withColumn("__b", F.ceil(F.col("__n") / limit).cast("int")).drop("__n")
-    d = df.join(size, keys).withColumn("own", F.pmod(F.xxhash64(F.lit(11), member), F.col("__b")).cast("int"))
+    d = df.join(size, keys).withColumn("own", _block(member, F.col("__b")))
     return d.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1))).withColumn("lo", F.least("own", "__o")).withColumn("hi", F.greatest("own", "__o")).drop("__o", "__b")
 
 
+def _block(member: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(11), member), blocks).cast("int")
+
+
+def apart(df: DataFrame, key: str, component: str, member: str, limit: int) -> DataFrame:
+    """Rows with ``own``, ``lo``, ``hi`` as of ``blocked``, where members of one component need not meet.
+
+    Keys with one component go. In the others, members outside the largest component
+    meet all; those of the largest meet these alone, so that a key with few members
+    outside grows by few copies of its rows.
+    """
+    n = df.groupBy(key, component).agg(F.count(F.lit(1)).alias("n"))
+    n = n.groupBy(key).agg(F.max_by(component, F.struct("n", component)).alias("__main"), F.max("n").alias("__n"), F.sum("n").alias("__all")).where("__all > __n")
+    blocks = lambda c: F.ceil(c / limit).cast("int")
+    d = hot_join(df, n.withColumn("__m", blocks(F.col("__n"))).withColumn("__o", blocks(F.col("__all") - F.col("__n"))), [key], "__all", df.count())
+    main, o, m = F.col(component) == F.col("__main"), F.col("__o"), F.col("__m")
+    whole = F.col("__all") <= limit
+    d = d.withColumn("own", F.when(whole, 0).when(main, o + _block(member, m)).otherwise(_block(member, o)))
+    others = F.when(whole, F.array(F.lit(0))).when(main, F.sequence(F.lit(0), o - 1)).otherwise(F.sequence(F.lit(0), o + m - 1))
+    d = d.withColumn("__with", F.explode(others))
+    return d.withColumn("lo", F.least("own", "__with")).withColumn("hi", F.greatest("own", "__with")).drop("__with", "__main", "__n", "__all", "__m", "__o")
+
+
 def each_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Run ``work`` on the rows of each group; a group must fit in memory, as block pairs do."""
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import cut, tidy
-from .components import Forest, blocked, components, each_group
+from .components import Forest, blocked, components, each_group, hot_join
 
 LEAST = 0.98
 NEAREST = 6
@@ -217,7 +217,7 @@ def link(df: DataFrame, vector: str = "embedding", key: str = "vec_id", label: s
     described = fine.select("id", "label", *hashes, F.size("v").alias("dims"), _describe(shared)("v").alias("desc"))
     described = cut(described.groupBy("id").agg(F.min_by(F.struct("label", "h1", "h2", "dims", "desc"), which).alias("r")).select("id", "r.*"))
     # equal vectors: one class for each label
-    classes = described.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_same"))
+    classes = cut(described.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_same")))
     reps = cut(described.join(classes.withColumnRenamed("rep", "id"), ["id", "label", "h1", "h2"]))
     lists = arrow_udf(_lists, "array<int>")
     posted = reps.select("label", "dims", "id", "desc", F.explode(lists("desc")).alias("list"))
@@ -233,8 +233,9 @@ def link(df: DataFrame, vector: str = "embedding", key: str = "vec_id", label: s
     found = cut(found)
     per_class = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     comp = components(found.where("b is not null")).withColumnRenamed("id", "rep")
-    full = described.select("id", "label", "h1", "h2").join(classes, ["label", "h1", "h2"]).select("id", "rep", "n_same")
-    out = rows.select("id").distinct().join(full.join(per_class, "rep", "left").join(comp, "rep", "left"), "id", "left")
+    of_class = classes.join(per_class, "rep", "left").join(comp, "rep", "left")
+    full = hot_join(described.select("id", "label", "h1", "h2"), of_class, ["label", "h1", "h2"], "n_same", described.count())
+    out = rows.select("id").distinct().join(full, "id", "left")
     c = F.coalesce("component", "rep", "id")
     return out.select(F.col("id").alias("vec_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("n_same", F.lit(1)) - 1).cast("long").alias("n_links"), c.alias("component_id"), (F.col("id") == c).alias("kept"))
 

@@ -8,18 +8,21 @@ link when ``100 * intersection >= 85 * union``. The steps:
    shingle within the first ``n - ceil(0.85 n) + 1`` of either, its prefix. How
    common a shingle is comes from a bounded sample; any order gives the same
    links, the sample only makes lists short.
-3. Prefix shingles with one and the same list of documents are one list.
-4. In a list, documents with equal prefixes and sizes are one group. Group pairs
-   are filtered by size, then expanded to members. Each set has a parity sketch
-   (a bit for each hash bucket, set if the bucket holds an odd number of
+3. Classes with equal prefixes and sizes are one group, which is posted once. Prefix
+   shingles with one and the same list of groups are one list. Shingles that a share
+   of ``HOT_SHARE`` of the sample has are counted by an aggregate that combines on the
+   map side, the others in a window.
+4. In a list, group pairs are filtered by size, then expanded to members. Each set has a
+   parity sketch (a bit for each hash bucket, set if the bucket holds an odd number of
    shingles); two sketches never differ in more bits than the sets in shingles,
    so a pair whose sketches differ in too many cannot link.
 5. Only components are asked for, so the pairs are verified in two rounds: first each
-   document's likeliest partner in each list, then every remaining pair whose
-   documents the links so far do not connect, in the first list that both are in.
-   Verification intersects the whole sets.
+   document's likeliest partner in each list (in a long list, within each of two random
+   blocks), then every remaining pair whose documents the links so far do not connect, in
+   the first list that both are in. In the second round documents of a list's largest
+   component meet the others of the list alone. Verification intersects the whole sets.
 
-Long lists are split into block pairs, so no list is ever gathered in one task.
+Long lists are split into blocks, so no list is ever gathered in one task.
 Sets are compared by shingle hashes; a false link would need colliding 64-bit hashes.
 """
 
@@ -34,13 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import Chunk, bounded_ids, chunks, cut, fold_ascii, ids_frame, mix, release, small_batches, tidy
-from .components import blocked, components, each_group
+from .components import apart, components, each_group, hot_join
 
 SHINGLE = 4
 PERCENT = 85
 SAMPLE_DOCS = 16_000
 SAMPLE_SHINGLES = 4096
 MOST_COMMON = 500_000
+HOT_SHARE = 0.004
+HOT_LEAST = 16
 LIST_BLOCK = 2048
 #: So many ids are broadcast at most; more are joined by a shuffle of the texts.
 BROADCAST_IDS = 1_000_000
@@ -104,25 +109,42 @@ def _some_of_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     return _sets(batches, SAMPLE_SHINGLES)
 
 
+def _sums(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set: sums over its shingles."""
+    full = np.diff(cuts) > 0
+    h1, h2 = np.zeros(len(full), np.uint64), np.zeros(len(full), np.uint64)
+    if len(h):
+        h1[full], h2[full] = np.add.reduceat(h, cuts[:-1][full]), np.add.reduceat(_other(h), cuts[:-1][full])
+    return h1, h2
+
+
+def _other(h: np.ndarray) -> np.ndarray:
+    return mix(h ^ np.uint64(0x5851F42D4C957F2D))
+
+
 def _whole_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    return _sets(batches)
+    for s in _sets(batches):
+        h1, h2 = _sums(s.flatten().to_numpy().view(np.uint64), s.offsets.to_numpy())
+        yield pa.StructArray.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), s], names=["h1", "h2", "s"])
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur in two sampled sets at least, sorted, and in how many."""
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Shingles that occur in two sampled sets at least, sorted, and in how many; and the hot ones."""
     ids = bounded_ids(docs, "id", SAMPLE_DOCS, "jaccard")
-    some = docs.join(F.broadcast(ids_frame(docs.sparkSession, ids, "id")), "id").select(arrow_udf(tidy(_some_of_set), "array<long>")("text").alias("s")).distinct()
-    rows = some.select(F.explode("s").alias("s")).groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(MOST_COMMON).toArrow()
-    h, n = rows["s"].to_numpy().view(np.uint64), rows["count"].to_numpy()
-    o = np.argsort(h)
-    return h[o], n[o]
+    some = docs.join(F.broadcast(ids_frame(docs.sparkSession, ids, "id")), "id").select(arrow_udf(tidy(_some_of_set), "array<long>")("text").alias("s"))
+    hot = max(HOT_LEAST, HOT_SHARE * len(ids))  # an average of a set's size / HOT_SHARE shingles at most
+    counted = some.groupBy("s").agg(F.count(F.lit(1)).alias("m")).select(F.explode("s").alias("s"), "m").groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("m"))
+    rows = counted.where((F.col("c") > 1) | (F.col("m") >= hot)).orderBy(F.desc("m"), "s").limit(MOST_COMMON).toArrow()
+    h, n, m = (rows[k].to_numpy() for k in ("s", "c", "m"))
+    o = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[o], n[o], h[m >= hot].tolist()
 
 
 def _describe(common):
     kind = "struct<n:long,h1:long,h2:long,prefix_key:long,prefix:array<long>,sketch:binary>"
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, count = common.value
+        known, count, _ = common.value
         for arr in batches:
             rows: list = [{"n": 0, "h1": 0, "h2": 0, "prefix_key": 0, "prefix": [], "sketch": b""}] * len(arr)
             for c in chunks(arr, FOLD):
@@ -138,11 +160,8 @@ def _describe(common):
                 base = np.concatenate(([0], np.cumsum(bits)))
                 odd = np.bincount(base[d] + (h & (bits[d] - 1).astype(np.uint64)).astype(np.int64), minlength=int(base[-1])) & 1
                 packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-                other = mix(h ^ np.uint64(0x5851F42D4C957F2D))
-                full = n > 0
-                h1, h2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-                if len(h):
-                    h1[full], h2[full] = np.add.reduceat(h, cuts[:-1][full]), np.add.reduceat(other, cuts[:-1][full])
+                other = _other(h)
+                h1, h2 = _sums(h, cuts)
                 for i, r in enumerate(c.rows.tolist()):
                     if n[i]:
                         pre = h[cuts[i] : cuts[i] + p[i]]
@@ -259,54 +278,80 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(p.where(F.col("i") * 100 >= F.col("u") * PERCENT).select("a", "b"))
 
 
+def _own_blocks(member: DataFrame) -> DataFrame:
+    """Rows of (list, lo, hi): whole short lists; of long ones two random blocks for each member."""
+    d = member.withColumn("x", F.explode("sized")).withColumn("b", F.ceil(F.col("x.size") / LIST_BLOCK).cast("int"))
+    of = lambda k: F.pmod(F.xxhash64(F.lit(k), "id"), F.col("b")).cast("int")
+    d = d.withColumn("lo", F.explode(F.when(F.col("b") == 1, F.array(F.lit(0))).otherwise(F.array(of(1), of(2) + F.col("b")))))
+    return d.select("*", F.col("x.list").alias("list"), F.col("lo").alias("hi"), F.col("lo").alias("own")).drop("x", "b", "sized")
+
+
 def join(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row with an id.
 
     A null or empty text, or one without words, has no shingles and links with
-    nothing. Repeated rows are kept; rows that share an id are one document in links.
+    nothing. Repeated rows are kept; rows that share an id are one document: of unequal
+    texts the one with the smallest set hash is compared, texts without words last, and
+    all rows of the id get its component. Texts of any length are compared as a whole.
+    An empty table gives no rows; other columns are not read.
     """
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    shared = spark.sparkContext.broadcast(common_shingles(docs))
+    common = common_shingles(docs)
+    shared = spark.sparkContext.broadcast(common)
     base = cut(docs.select("id", _describe(shared)("text").alias("d")).select("id", "d.*"))
-    full = base.where("n > 0")
-    classes = full.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    rep = cut(full.join(classes.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").select("id", "n", "prefix_key", "prefix", "sketch"))
-    named = cut(full.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"]).select("id", "n", "rep"))
-    without = cut(base.where("n = 0").select("id", "n", F.col("id").alias("component")))
-    del base, full, classes
+    one = base.groupBy("id").agg(F.min(F.struct(F.col("n") == 0, "h1", "h2", "n", "prefix_key")).alias("r")).select("id", "r.h1", "r.h2", "r.n", "r.prefix_key")
+    one = cut(one)
+    classes = cut(one.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min("prefix_key").alias("prefix_key"), F.count(F.lit(1)).alias("copies")))
+    of_group = classes.groupBy("n", "prefix_key").agg(F.min("rep").alias("gid"))
+    reps = classes.join(of_group, ["n", "prefix_key"]).select(F.col("rep").alias("id"), "h1", "h2", "gid")
+    rep = cut(base.join(reps, ["id", "h1", "h2"]).select("id", "gid", "n", "prefix_key", "prefix", "sketch"))
+    rows = cut(base.select("id", "n"))
+    del base, of_group, reps
     release(spark)
 
+    xors = [F.bit_xor(F.xxhash64(F.lit(k), "gid")) for k in (1, 2)]
     same = Window.partitionBy("shingle")
-    seed = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "id")).over(same)
-    posted = rep.select("id", F.explode("prefix").alias("shingle")).select("id", F.count(F.lit(1)).over(same).alias("c"), seed(1).alias("x1"), seed(2).alias("x2")).where("c > 1")
-    lists = cut(posted.select("id", F.xxhash64("c", "x1", "x2").alias("list")).distinct())
-    del posted
-    release(spark)
-    member = cut(rep.select("id", "n", "prefix_key", "sketch").join(lists.groupBy("id").agg(F.array_sort(F.collect_list("list")).alias("lists")), "id"))
-
-    del rep
+    hot = F.broadcast(spark.createDataFrame([(h,) for h in common[2]], "shingle long"))
+    posted = rep.where("id = gid").select("gid", F.explode("prefix").alias("shingle"))
+    cold = posted.join(hot, "shingle", "left_anti").select("gid", F.count(F.lit(1)).over(same).alias("c"), *[x.over(same).alias(f"x{k}") for k, x in enumerate(xors, 1)])
+    warm = posted.join(hot, "shingle", "left_semi")
+    warm = warm.join(F.broadcast(warm.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), *[x.alias(f"x{k}") for k, x in enumerate(xors, 1)])), "shingle")  # as few as the hot shingles
+    posted = cold.unionByName(warm.drop("shingle"))
+    # a list of one group joins the group's members, which all groups do below
+    lists = posted.where("c > 1").select("gid", F.xxhash64("c", "x1", "x2").alias("list")).unionByName(rep.where("id <> gid").select("gid", F.xxhash64(F.lit("group"), "gid").alias("list"))).distinct()
+    lists = cut(lists)
+    of_group = rep.groupBy("gid").agg(F.count(F.lit(1)).alias("members"))
+    size = lists.join(of_group, "gid").groupBy("list").agg(F.sum("members").alias("size"), F.count(F.lit(1)).alias("groups"))
+    sized = hot_join(lists, cut(size), ["list"], "groups", lists.count()).groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("list", "size"))).alias("sized"))
+    member = cut(rep.select("id", "gid", "n", "prefix_key", "sketch").join(sized, "gid").drop("gid"))
+    del rep, posted, cold, warm, lists, of_group, size, sized
     release(spark)
 
-    def rounds(m: DataFrame, work, *more: str) -> DataFrame:
-        rows = blocked(m.withColumn("list", F.explode("lists")), ["list"], "id", LIST_BLOCK, no_single=True)
-        return cut(each_group(rows.select("list", "lo", "hi", "own", "id", "n", "prefix_key", "sketch", *more), ["list", "lo", "hi"], work, "a long, b long"))
-
-    first = rounds(member, _likeliest)
-    wanted = first.where("b is null").select(F.col("a").alias("id")).distinct()
+    group = ["list", "lo", "hi"]
+    narrow = ["id", "n", "prefix_key", "sketch"]
+    first = cut(each_group(_own_blocks(member).select(*group, "own", *narrow), group, _likeliest, "a long, b long"))
+    long = member.where(F.exists("sized", lambda x: x["size"] > LIST_BLOCK)).select("id")
+    wanted = cut(first.where("b is null").select(F.col("a").alias("id")).union(long).distinct())
     few = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda d: d
-    sets = cut(docs.join(few(wanted), "id", "left_semi").dropDuplicates(["id"]).select("id", arrow_udf(tidy(_whole_set), "array<long>")("text").alias("s")))
+    sets = docs.join(few(wanted), "id", "left_semi").select("id", arrow_udf(tidy(_whole_set), "struct<h1:long,h2:long,s:array<long>>")("text").alias("r"))
+    sets = cut(sets.groupBy("id").agg(F.min_by("r.s", F.struct(F.size("r.s") == 0, "r.h1", "r.h2")).alias("s")))
     release(spark)
     links = _verified(first.where("b is not null"), sets)
     comp = components(links)
-    rest = rounds(member.join(wanted, "id", "left_semi").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), _remaining, "component", "lists")
+    left = cut(member.join(wanted, "id", "left_semi").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    met = apart(left.select("id", "component", F.explode("sized.list").alias("list")), "list", "component", "id", LIST_BLOCK)
+    met = met.join(left.withColumn("lists", F.col("sized.list")).drop("sized", "component"), "id")
+    rest = cut(each_group(met.select(*group, "own", *narrow, "component", "lists"), group, _remaining, "a long, b long"))
     links = links.union(_verified(rest, sets))
     comp = components(links).withColumnRenamed("id", "rep")
     release(spark)
 
-    out = named.join(comp, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component")).union(without)
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    of_class = classes.join(comp, "rep", "left").select("h1", "h2", "n", "copies", F.coalesce("component", "rep").alias("component"))
+    of_id = hot_join(one.select("id", "h1", "h2", "n").where("n > 0"), of_class, ["h1", "h2", "n"], "copies", one.count()).select("id", "component")
+    of_id = of_id.union(one.where("n = 0").select("id", "id"))
+    return rows.join(of_id, "id").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def contract(docs: DataFrame) -> DataFrame:

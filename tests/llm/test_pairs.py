@@ -53,6 +53,16 @@ def test_blocks_meet_once(spark):
     assert len(pairs) == len(set(pairs)) == 7 * 6 // 2 + 2 * (40 * 39 // 2)
 
 
+def test_components_meet_others_once(spark):
+    rows = [(k, i, 1 if i % 9 or k == 2 else i) for k in range(3) for i in range(90 if k else 8)]
+    b = C.apart(spark.createDataFrame(rows, "k long, id long, c long"), "k", "c", "id", 8).collect()
+    met: dict = {}
+    for r in b:
+        met.setdefault((r["k"], r["lo"], r["hi"]), []).append(r)
+    pairs = [(k, x["id"], y["id"]) for (k, lo, hi), g in met.items() for x in g for y in g if x["id"] < y["id"] and x["c"] != y["c"] and (lo == hi or x["own"] != y["own"])]
+    assert sorted(pairs) == sorted((k, i, j) for k, i, c in rows for l, j, d in rows if k == l and i < j and c != d)
+
+
 def brute_jaccard(texts):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
@@ -90,13 +100,17 @@ def test_jaccard_against_brute_force(spark):
     texts += [f"{passage} {' '.join(rng.choices('abcdefghij', k=80))}" for _ in range(40)] + ["same text of a few words"] * 30
     df = spark.createDataFrame([(i * 3 + 1, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n int")
     want = brute_jaccard({i * 3 + 1: t for i, t in enumerate(texts)})
-    old = J.LIST_BLOCK
-    for size in (old, 16):
-        J.LIST_BLOCK = size
+    old = J.LIST_BLOCK, J.HOT_LEAST, J.HOT_SHARE, J.BROADCAST_IDS
+    for J.LIST_BLOCK, J.HOT_LEAST, J.HOT_SHARE, J.BROADCAST_IDS in (old, (16, 2, 0.0, 0)):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.contract(df).collect()}
         assert got == want
-    J.LIST_BLOCK = old
+    J.LIST_BLOCK, J.HOT_LEAST, J.HOT_SHARE, J.BROADCAST_IDS = old
     assert J.contract(df.union(df)).count() == 2 * len(texts)
+    twice = df.union(spark.createDataFrame([(1, "other text of the same id", 1), (4, texts[11], 1)], df.schema))
+    again = {}
+    for r in J.contract(twice.repartition(7)).collect():
+        again.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert all(len(v) == 1 for v in again.values())
     assert J.contract(df.limit(0)).count() == 0
 
 
