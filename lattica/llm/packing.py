@@ -21,6 +21,7 @@ gathered in one task.
 from __future__ import annotations
 
 import bisect
+import codecs
 import os
 import re
 import zlib
@@ -40,15 +41,21 @@ CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Words kept with their ids by each worker: about 40 bytes each.
-MAX_WORDS = 300_000
+MAX_WORDS = 600_000
 WORD_END = "</w>"
 #: The tokenizer's own parts of a word; it lowers case, so that A-Z can be lowered before.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+", re.I)
 #: The letters that stand for the bytes 127 to 160 and 173 in byte-level tokenizers.
 _BYTE_LETTERS = {b: 289 + k for k, b in enumerate([*range(127, 161), 173])}
+_AS_LETTERS = "".join(chr(_BYTE_LETTERS.get(b, b)) for b in range(256))
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
+#: ASCII characters other than letters, digits and white space, and those letters and digits.
+_MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[33:127] = True
+_PLAIN[[*range(48, 58), *range(97, 123)]] = True
+_MARK[[*range(65, 91), *range(97, 123), *range(48, 58)]] = False
 GROUP_BYTES = 1 << 19
 
 Pattern = tuple[int, list[tuple[int, int]]]  # how many sequences; lengths with their counts in each
@@ -89,7 +96,7 @@ class WordTokenizer:
 
     def _bare(self, words: list[str]) -> np.ndarray:
         """Ids of words of letters up to U+02FF, where lower case and composition are a matter of single characters."""
-        text = " ".join(words).lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+        text = codecs.charmap_decode(" ".join(words).lower().encode(), "strict", _AS_LETTERS)[0]
         self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self._ways[True]
         try:
             return self._many([text])
@@ -105,7 +112,7 @@ class WordTokenizer:
         U+0130 is left out: in lower case it has a mark that splits the word.
         """
         texts = [w.decode() for w in words]
-        simple = np.fromiter((t.isalpha() and max(t) < "\u0300" and "\u0130" not in t for t in texts), bool, len(texts))
+        simple = np.fromiter((w.isalpha() or t.isalpha() and max(t) < "\u0300" and "\u0130" not in t for w, t in zip(words, texts, strict=True)), bool, len(texts))
         # others in parts by the whole tokenizer, ASCII ones many at a time as well
         parts = np.fromiter((len(_PARTS.findall(t)) if not k and t.isascii() and t.isprintable() and "<|" not in t else 0 for k, t in zip(simple.tolist(), texts, strict=True)), np.int64, len(texts))
         plain, ascii_, odd = np.flatnonzero(simple), np.flatnonzero(parts), np.flatnonzero(~simple & (parts == 0))
@@ -145,11 +152,20 @@ class WordTokenizer:
             at = np.searchsorted(self.keys, h)
         return self.row[at][back]
 
+    def _without_marks(self, c: Chunk, starts: np.ndarray, ends: np.ndarray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marks at a word's end, after an ASCII letter or digit, as words of their own: so the tokenizer takes them, but in special tokens."""
+        plain = np.where(_MARK[c.buf], 0, np.arange(len(c.buf)))
+        cut = np.maximum.accumulate(plain)[ends - 1] + 1
+        some = (cut < ends) & (cut > starts)
+        some &= _PLAIN[c.buf[np.maximum(cut - 1, 0)]] & ~special[c.doc_of(starts)]
+        return np.sort(np.concatenate((starts, cut[some]))), np.sort(np.concatenate((ends, cut[some])))
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         c = Chunk(np.arange(len(texts)), [t if b"<|" in t else t.translate(_LOWER) for t in texts])
         starts, ends = c.runs(_WORD)
         if not len(starts):
             return [self.ids[:0]] * len(texts)
+        starts, ends = self._without_marks(c, starts, ends, np.array([b"<|" in t for t in texts]))
         row = self._rows(c, starts, ends)
         lens = self.lens[row]
         stop = np.cumsum(lens)
