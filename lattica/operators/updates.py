@@ -64,13 +64,20 @@ def row_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.exceptAll(old)
 
 
-def parent_tree(df: DataFrame, key: str, parent: str, depth: int = 4) -> DataFrame:
-    """Each row with its path of ancestors by key, up to a depth, root first."""
-    out = df.select(F.col(key).alias("__k"), F.col(parent).alias("__p"), F.array(F.col(key)).alias("path"))
-    up = df.select(F.col(key).alias("__uk"), F.col(parent).alias("__up")).where("__uk is not null")
-    for _ in range(depth - 1):
-        out = out.join(up, F.col("__p") == F.col("__uk"), "left").select("__k", F.col("__up").alias("__p"), F.when(F.col("__uk").isNotNull(), F.concat(F.array("__uk"), "path")).otherwise(F.col("path")).alias("path"))
-    return out.select(F.col("__k").alias(key), "path", F.size("path").alias("depth"))
+def parent_tree(df: DataFrame, key: str, parent: str) -> DataFrame:
+    """Each row with its path of ancestors by key, root first, however deep.
+
+    Each round joins a path to that of its topmost row, so paths double; rounds go on until none grows.
+    A row without a known parent is a root; rows of a cycle end where the cycle would begin again.
+    """
+    known = df.select(F.col(key).alias("__u")).where("__u is not null").distinct()
+    out = df.join(known, (F.col(parent) == F.col("__u")) & (F.col(parent) != F.col(key)), "left").select(F.col(key).alias("__k"), F.col("__u").alias("__p"), F.array(F.col(key)).alias("path"))
+    while True:
+        up = out.where("__k is not null").dropDuplicates(["__k"]).select(F.col("__k").alias("__u"), F.col("__p").alias("__up"), F.col("path").alias("__path"))
+        free = ~F.arrays_overlap("path", "__path")
+        out = out.join(up, F.col("__p") == F.col("__u"), "left").select("__k", F.when(free, F.col("__up")).alias("__p"), F.when(free, F.concat("__path", "path")).otherwise(F.col("path")).alias("path"))
+        if out.where("__p is not null").isEmpty():
+            return out.select(F.col("__k").alias(key), "path", F.size("path").alias("depth"))
 
 
 def water_marks(old: DataFrame | None, new: DataFrame, group: str, value: str) -> DataFrame:

@@ -18,7 +18,7 @@ from ..operators.search import Search
 from ..sources import build, ingest
 from ..streaming import keyed
 from ..table import longest_text
-from . import view
+from . import surface, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,13 +61,10 @@ _filter("in", Filter("o_orderpriority", "in", ["1-URGENT", "5-low"]), "lower(o_o
 _filter("between", Filter("o_totalprice", "between", [90000.0, 60000.0]), "o_totalprice >= 60000 AND o_totalprice < 90000")
 _filter("before", Filter("o_orderdate", "before", date(1995, 3, 1)), "o_orderdate < TIMESTAMP '1995-03-01'")
 _filter("after", Filter("o_orderdate", "after", date(1998, 1, 1)), "o_orderdate > TIMESTAMP '1998-01-01'")
-_filter("no_value", [Filter("o_totalprice", ">", None), Filter("o_orderkey", "<", 100)], "o_orderkey < 100")
 _filter("any_of", [Filter("o_totalprice", "<", 20000.0), Filter("o_orderkey", "<", 50)], "o_totalprice < 20000 OR o_orderkey < 50", op="or")
 _filter("ignore_all", Filter("o_orderkey", "ignore all"), "FALSE")
-_filter("all_date_range", [Filter("o_orderdate", "all date range"), Filter("o_orderkey", "<", 200)], "o_orderkey < 200")
-# over all rows; no_value and all_date_range keep the second filter that their SQL states
-_filter("no_value_whole", Filter("o_totalprice", ">", None), "TRUE")
-_filter("all_date_range_whole", Filter("o_orderdate", "all date range"), "TRUE")
+_filter("no_value", Filter("o_totalprice", ">", None), "TRUE")
+_filter("all_date_range", Filter("o_orderdate", "all date range"), "TRUE")
 _filter("group", GroupFilter(((("o_orderpriority", ("1-URGENT", "2-HIGH")), ("o_orderstatus", ("F",))), (("o_orderstatus", ("P",)),))), "(o_orderpriority NOT IN ('1-URGENT', '2-HIGH') OR o_orderstatus NOT IN ('F')) AND o_orderstatus NOT IN ('P')")
 
 for _n, _op, _w in (
@@ -298,8 +295,6 @@ add("suggestions", lambda s, d: search.suggestions(t(s, d, "part"), "p_type", "s
 
 # --- updates ------------------------------------------------------------------------------------------------
 _EV = "event_id, user_id, event_type, value"
-_old = lambda s, d: t(s, d, "events").where("event_id < 6000").select("event_id", "user_id", "event_type", "value")
-_new = lambda s, d: t(s, d, "events").where("event_id >= 4000").select("event_id", "user_id", "event_type", F.col("value").alias("value"))
 #: Batches that grow with the table and overlap: the first six tenths of the ids, and the last six tenths.
 _end = lambda s, d: t(s, d, "events").select(F.max("event_id") + 1).scalar()
 _early = lambda s, d: t(s, d, "events").where(F.col("event_id") * 10 < _end(s, d) * 6).select("event_id", "user_id", "event_type", "value")
@@ -307,24 +302,17 @@ _late = lambda s, d: t(s, d, "events").where(F.col("event_id") * 10 >= _end(s, d
 _EARLY = "(SELECT * FROM events WHERE event_id * 10 < 6 * (SELECT max(event_id) + 1 FROM events))"
 _LATE = "(SELECT * FROM events WHERE event_id * 10 >= 4 * (SELECT max(event_id) + 1 FROM events))"
 _LAST = "SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 4) AS value FROM {} GROUP BY user_id"
-add("update_append", lambda s, d: updates.append(_old(s, d), _new(s, d)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "SELECT event_type, count(*) AS n FROM (SELECT event_type FROM events WHERE event_id < 6000 UNION ALL SELECT event_type FROM events WHERE event_id >= 4000) GROUP BY 1")
 add("update_upsert", lambda s, d: rounded(updates.upsert(updates.latest(_early(s, d), "user_id", "event_id"), _late(s, d), "user_id", "event_id").select("user_id", "event_id", "event_type", "value"), 4), _LAST.format("events"))
-add("update_flatten", lambda s, d: rounded(updates.latest(_new(s, d), "user_id", "event_id").select("user_id", "event_id", "event_type", "value"), 4), _LAST.format("(SELECT * FROM events WHERE event_id >= 4000)"))
-add("update_partial", lambda s, d: rounded(updates.partial(updates.latest(_old(s, d), "user_id", "event_id").withColumn("at", F.col("event_id")), _new(s, d).select("user_id", "event_type", F.col("event_id").alias("at")), "user_id", "at").select("user_id", "event_type", "value"), 4), "WITH o AS (SELECT user_id, arg_max(event_type, event_id) AS e, arg_max(value, event_id) AS v FROM events WHERE event_id < 6000 GROUP BY 1), n AS (SELECT user_id, arg_max(event_type, event_id) AS e FROM events WHERE event_id >= 4000 GROUP BY 1) SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(n.e, o.e) AS event_type, round(o.v, 4) AS value FROM o FULL JOIN n ON o.user_id = n.user_id")
-add("update_remove", lambda s, d: updates.remove(t(s, d, "customer"), t(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")).where("c_custkey % 3 = 0"), "c_custkey").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 = 0)")
 add("update_ring", lambda s, d: rounded(updates.ring(t(s, d, "events"), 64, "event_id").select("event_id", "value"), 4), "SELECT event_id, round(value, 4) AS value FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 64 ORDER BY event_id DESC) = 1")
-add("update_transitions", lambda s, d: updates.transitions(updates.latest(_old(s, d), "user_id", "event_id"), updates.latest(_new(s, d), "user_id", "event_id"), "user_id", "event_type").groupBy("transition").agg(F.count(F.lit(1)).alias("n")), "WITH o AS (SELECT user_id, arg_max(event_type, event_id) AS e FROM events WHERE event_id < 6000 GROUP BY 1), n AS (SELECT user_id, arg_max(event_type, event_id) AS e FROM events WHERE event_id >= 4000 GROUP BY 1) SELECT CASE WHEN o.user_id IS NULL THEN 'added' WHEN n.user_id IS NULL THEN 'removed' WHEN o.e = n.e THEN 'same' ELSE 'changed' END AS transition, count(*) AS n FROM o FULL JOIN n ON o.user_id = n.user_id GROUP BY 1")
-add("update_deltas", lambda s, d: rounded(updates.deltas(_old(s, d), _new(s, d).where("event_id < 7000"), "event_id", "event_type", "value"), 3), "SELECT event_type, round(sum(v), 3) AS delta_sum, CAST(sum(n) AS BIGINT) AS delta_count FROM (SELECT event_type, -value AS v, -1 AS n FROM events WHERE event_id >= 4000 AND event_id < 6000 UNION ALL SELECT event_type, value, 1 FROM events WHERE event_id >= 4000 AND event_id < 7000) GROUP BY 1")
-add("row_delta", lambda s, d: updates.row_delta(*(view.one_sided(x, ViewConfig(row_pivots=("event_type",), aggregates={"n": Agg("count")})) for x in (_old(s, d), t(s, d, "events").where("event_id < 6500")))), "WITH a AS (SELECT event_type, CAST(1 - grouping(event_type) AS INTEGER) AS level, count(*) AS n FROM events WHERE event_id < 6000 GROUP BY ROLLUP (event_type)), b AS (SELECT event_type, CAST(1 - grouping(event_type) AS INTEGER) AS level, count(*) AS n FROM events WHERE event_id < 6500 GROUP BY ROLLUP (event_type)) SELECT * FROM b EXCEPT ALL SELECT * FROM a")
 # the same over whole tables; those above keep the id ranges that their SQL states
 _LASTS = f"WITH o AS (SELECT user_id, arg_max(event_type, event_id) AS e, arg_max(value, event_id) AS v FROM {_EARLY} GROUP BY 1), n AS (SELECT user_id, arg_max(event_type, event_id) AS e FROM {_LATE} GROUP BY 1) "
-add("update_append_whole", lambda s, d: updates.append(_early(s, d), _late(s, d)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), f"SELECT event_type, count(*) AS n FROM (SELECT event_type FROM {_EARLY} UNION ALL SELECT event_type FROM {_LATE}) GROUP BY 1")
-add("update_flatten_whole", lambda s, d: rounded(updates.latest(t(s, d, "events").select("event_id", "user_id", "event_type", "value"), "user_id", "event_id").select("user_id", "event_id", "event_type", "value"), 4), _LAST.format("events"))
-add("update_partial_whole", lambda s, d: rounded(updates.partial(updates.latest(_early(s, d), "user_id", "event_id").withColumn("at", F.col("event_id")), _late(s, d).select("user_id", "event_type", F.col("event_id").alias("at")), "user_id", "at").select("user_id", "event_type", "value"), 4), _LASTS + "SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(n.e, o.e) AS event_type, round(o.v, 4) AS value FROM o FULL JOIN n ON o.user_id = n.user_id")
-add("update_remove_whole", lambda s, d: updates.remove(t(s, d, "orders"), t(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
-add("update_transitions_whole", lambda s, d: updates.transitions(updates.latest(_early(s, d), "user_id", "event_id"), updates.latest(_late(s, d), "user_id", "event_id"), "user_id", "event_type").groupBy("transition").agg(F.count(F.lit(1)).alias("n")), _LASTS + "SELECT CASE WHEN o.user_id IS NULL THEN 'added' WHEN n.user_id IS NULL THEN 'removed' WHEN o.e = n.e THEN 'same' ELSE 'changed' END AS transition, count(*) AS n FROM o FULL JOIN n ON o.user_id = n.user_id GROUP BY 1")
-add("update_deltas_whole", lambda s, d: rounded(updates.deltas(_early(s, d), _late(s, d).withColumn("value", F.col("value") * 2), "event_id", "event_type", "value"), 3), f"SELECT event_type, round(sum(v), 3) AS delta_sum, CAST(sum(n) AS BIGINT) AS delta_count FROM (SELECT event_type, -value AS v, -1 AS n FROM {_EARLY} WHERE event_id IN (SELECT event_id FROM {_LATE}) UNION ALL SELECT event_type, value * 2, 1 FROM {_LATE}) GROUP BY 1")
-add("row_delta_whole", lambda s, d: updates.row_delta(*(view.one_sided(x, ViewConfig(row_pivots=("event_type",), aggregates={"n": Agg("count")})) for x in (_early(s, d), t(s, d, "events")))), f"WITH a AS (SELECT event_type, CAST(1 - grouping(event_type) AS INTEGER) AS level, count(*) AS n FROM {_EARLY} GROUP BY ROLLUP (event_type)), b AS (SELECT event_type, CAST(1 - grouping(event_type) AS INTEGER) AS level, count(*) AS n FROM events GROUP BY ROLLUP (event_type)) SELECT * FROM b EXCEPT ALL SELECT * FROM a")
+add("update_append", lambda s, d: updates.append(_early(s, d), _late(s, d)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), f"SELECT event_type, count(*) AS n FROM (SELECT event_type FROM {_EARLY} UNION ALL SELECT event_type FROM {_LATE}) GROUP BY 1")
+add("update_flatten", lambda s, d: rounded(updates.latest(t(s, d, "events").select("event_id", "user_id", "event_type", "value"), "user_id", "event_id").select("user_id", "event_id", "event_type", "value"), 4), _LAST.format("events"))
+add("update_partial", lambda s, d: rounded(updates.partial(updates.latest(_early(s, d), "user_id", "event_id").withColumn("at", F.col("event_id")), _late(s, d).select("user_id", "event_type", F.col("event_id").alias("at")), "user_id", "at").select("user_id", "event_type", "value"), 4), _LASTS + "SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(n.e, o.e) AS event_type, round(o.v, 4) AS value FROM o FULL JOIN n ON o.user_id = n.user_id")
+add("update_remove", lambda s, d: updates.remove(t(s, d, "orders"), t(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+add("update_transitions", lambda s, d: updates.transitions(updates.latest(_early(s, d), "user_id", "event_id"), updates.latest(_late(s, d), "user_id", "event_id"), "user_id", "event_type").groupBy("transition").agg(F.count(F.lit(1)).alias("n")), _LASTS + "SELECT CASE WHEN o.user_id IS NULL THEN 'added' WHEN n.user_id IS NULL THEN 'removed' WHEN o.e = n.e THEN 'same' ELSE 'changed' END AS transition, count(*) AS n FROM o FULL JOIN n ON o.user_id = n.user_id GROUP BY 1")
+add("update_deltas", lambda s, d: rounded(updates.deltas(_early(s, d), _late(s, d).withColumn("value", F.col("value") * 2), "event_id", "event_type", "value"), 3), f"SELECT event_type, round(sum(v), 3) AS delta_sum, CAST(sum(n) AS BIGINT) AS delta_count FROM (SELECT event_type, -value AS v, -1 AS n FROM {_EARLY} WHERE event_id IN (SELECT event_id FROM {_LATE}) UNION ALL SELECT event_type, value * 2, 1 FROM {_LATE}) GROUP BY 1")
+add("row_delta", lambda s, d: updates.row_delta(*(view.one_sided(x, ViewConfig(row_pivots=("event_type",), aggregates={"n": Agg("count")})) for x in (_early(s, d), t(s, d, "events")))), f"WITH a AS (SELECT event_type, CAST(1 - grouping(event_type) AS INTEGER) AS level, count(*) AS n FROM {_EARLY} GROUP BY ROLLUP (event_type)), b AS (SELECT event_type, CAST(1 - grouping(event_type) AS INTEGER) AS level, count(*) AS n FROM events GROUP BY ROLLUP (event_type)) SELECT * FROM b EXCEPT ALL SELECT * FROM a")
 add("parent_tree", lambda s, d: updates.parent_tree(t(s, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") > 0, F.floor(F.col("n_nationkey") / 3).cast("int")).alias("up")), "n_nationkey", "up").select("n_nationkey", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path")), "WITH RECURSIVE r AS (SELECT n_nationkey, 1 AS depth, CAST(n_nationkey AS VARCHAR) AS path FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, r.depth + 1, r.path || '/' || n.n_nationkey FROM nation n JOIN r ON n.n_nationkey // 3 = r.n_nationkey AND n.n_nationkey > 0) SELECT n_nationkey, CAST(depth AS INTEGER) AS depth, path FROM r")
 add("event_windows", lambda s, d: rounded(keyed.tumbling(t(s, d, "events"), "ts", "1 hour", ["event_type"], "value").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 add("event_windows_sliding", lambda s, d: rounded(keyed.tumbling(t(s, d, "events"), "ts", "2 hours", [], "value", slide="1 hour").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))), "SELECT strftime(date_trunc('hour', ts) - to_hours(CAST(k AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(sum(value), 2) AS total FROM events, range(2) x(k) GROUP BY 1")
@@ -410,4 +398,17 @@ def _csv(s: SparkSession, d: str) -> DataFrame:
 
 add("ingest_typed", _csv, "SELECT * FROM (VALUES (1::BIGINT, 'a', '2020-01-02', TRUE, '1,2', 1.5::DOUBLE, ''), (2, 'b', '2020-02-03', FALSE, '', NULL, 'amount'), (3, NULL, '2020-03-04', TRUE, '3', NULL, '')) v(id, name, \"when\", ok, list, amount, error)")
 add("row_numbers", lambda s, d: ingest.numbered(t(s, d, "nation").select("n_name"), ["n_name"]), "SELECT n_name, CAST(row_number() OVER (ORDER BY n_name) AS INTEGER) AS __rownum__ FROM nation")
-add("narrowed_integers", lambda s, d: ingest.narrowed(t(s, d, "supplier").select("s_suppkey")), "SELECT CAST(s_suppkey AS TINYINT) AS s_suppkey FROM supplier")
+
+
+
+def _narrowed(s: SparkSession, d: str) -> DataFrame:
+    out = ingest.narrowed(t(s, d, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("o_custkey"), (F.col("o_custkey") % 100).cast("long").alias("small")))
+    kinds = [F.lit(f.dataType.simpleString()).alias(f"{f.name}_type") for f in out.schema]
+    return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns], *kinds)
+
+
+_KIND = "(SELECT CASE WHEN max(abs({0})) <= 127 THEN 'tinyint' WHEN max(abs({0})) <= 32767 THEN 'smallint' WHEN max(abs({0})) < 2147483648 THEN 'int' ELSE 'bigint' END FROM orders) AS {1}_type"
+add("narrowed_integers", _narrowed, f"SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, CAST(o_custkey % 100 AS BIGINT) AS small, {_KIND.format('o_orderkey', 'o_orderkey')}, {_KIND.format('o_custkey', 'o_custkey')}, {_KIND.format('o_custkey % 100', 'small')} FROM orders")
+
+QUERIES |= surface.QUERIES
+ORACLE_SQL |= surface.ORACLE_SQL

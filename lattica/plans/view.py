@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import PERCENT, Agg, ConfigError, Having, Limit, Pivot, ViewConfig
+from ..config import ITEMS, PERCENT, Agg, ConfigError, Having, Limit, Pivot, ViewConfig
 from ..functions import aggregates as A
 from ..functions import computed, levels
 from ..operators import filters, search
@@ -64,9 +64,10 @@ def flat(df: DataFrame, v: ViewConfig, now: datetime | None = None) -> DataFrame
     df = source(df, v, now)
     cols = list(v.columns) or df.columns
     by = order(df, v.sort, v.key)
-    if v.top:
-        n, kind = v.top
-        df = df.orderBy(*by).limit(count_of(n, kind, df.count() if kind == PERCENT else 0))
+    if v.top and v.top[1] == PERCENT:
+        df = first_share(df, by, v.top[0])
+    elif v.top:
+        df = df.orderBy(*by).limit(count_of(v.top[0], ITEMS, 0))
     elif by:
         df = df.orderBy(*by)
     if v.items_per_page:
@@ -74,6 +75,21 @@ def flat(df: DataFrame, v: ViewConfig, now: datetime | None = None) -> DataFrame
     return df.select(*cols)
 
 
+def first_share(df: DataFrame, by: list[Column], percent: float) -> DataFrame:
+    """The first rows in an order, a share of all, one at least.
+
+    The order is dealt over tasks by ranges, and each row's place is that in its range
+    after the ranges before, of which only the numbers of rows meet.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = (df.repartitionByRange(ranges, *by).sortWithinPartitions(*by) if by else df).withColumn("__at", F.monotonically_increasing_id())
+    n = d.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = n.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(F.lit(1))).alias("__all"))
+    d = d.join(F.broadcast(before), F.shiftright("__at", 33) == F.col("__part"))
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return d.where(place < F.greatest(F.lit(1), F.floor(F.col("__all") * percent / 100))).drop("__at", "__part", "__before", "__all")
+
+
 def page(df: DataFrame, by: list[Column], number: int, size: int) -> DataFrame:
     """Rows of a 1-based page: a sort with a limit and an offset, so that no task orders the whole table."""
     return (df.orderBy(*by) if by else df).offset((number - 1) * size).limit(size)
@@ -285,16 +301,30 @@ def _against(out: DataFrame, name: str, row: Column, rl: Column, col: Column, cl
     return j.withColumn(name, F.when(F.col("__base") != 0, 100.0 * F.col("__v") / F.col("__base"))).drop("__br", "__brl", "__bc", "__bcl", "__base", "__v")
 
 
-def crossed(long: DataFrame, rows: list[str], cols: list[str], values: list[str], flat_names: bool = False, descending: bool = False) -> DataFrame:
-    """The long form with one column for each column path and value, at most MAX_COLUMNS paths."""
+CUT = "__columns_left_out__"
+
+
+def crossed(long: DataFrame, rows: list[str], cols: list[str], values: list[str], flat_names: bool = False, descending: bool = False, most: int = MAX_COLUMNS) -> DataFrame:
+    """The long form with one column for each column path and value, of at most ``most`` paths.
+
+    Where there are more, the column ``__columns_left_out__`` says so in each row.
+    """
     sep = " - " if flat_names else "|"
     label = F.when(F.col("col_level") == 0, "TOTAL").otherwise(F.array_join(F.slice(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols]), 1, F.col("col_level")), sep))
     d = long.withColumn("__label", label)
-    labels = [r[0] for r in d.select("__label").distinct().orderBy(F.col("__label").desc() if descending else F.col("__label")).limit(MAX_COLUMNS).collect()]
+    labels = [r[0] for r in d.select("__label").distinct().orderBy(F.col("__label").desc() if descending else F.col("__label")).limit(most + 1).collect()]
+    flag = [F.lit(True).alias(CUT)] if len(labels) > most else []
+    labels = labels[:most]
     out = d.groupBy(*rows, "row_level").pivot("__label", labels).agg(*[F.first(x, ignorenulls=True).alias(x) for x in values])
     if len(values) == 1:
-        return out.select(*rows, "row_level", *[F.col(f"`{x}`").alias(f"{x}{sep}{values[0]}") for x in labels])
-    return out.select(*rows, "row_level", *[F.col(f"`{x}_{y}`").alias(f"{x}{sep}{y}") for x in labels for y in values])
+        return out.select(*rows, "row_level", *[F.col(f"`{x}`").alias(f"{x}{sep}{values[0]}") for x in labels], *flag)
+    return out.select(*rows, "row_level", *[F.col(f"`{x}_{y}`").alias(f"{x}{sep}{y}") for x in labels for y in values], *flag)
+
+
+def nested(out: DataFrame, keys: list[str], level: str = "level") -> DataFrame:
+    """The nested form: one path of keys as text, from the outermost, in place of a column for each pivot."""
+    path = F.slice(F.array(*[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]), 1, F.col(level))
+    return out.select(path.alias("__ROW_PATH__"), *[c for c in out.columns if c not in (*keys, level)])
 
 
 def combined(out: DataFrame, ids: list[str], values: list[str]) -> DataFrame:

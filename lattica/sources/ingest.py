@@ -12,9 +12,12 @@ import io
 import json
 import re
 import zipfile
+from datetime import datetime, time, timedelta
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,7 +54,8 @@ class Layout:
     escape: str | None = None
     comment: str | None = None
     header: bool = False
-    skip: int = 0
+    skip: int = 0  # records before the header, those without any character not counted
+    multiline: bool = False  # whether a quoted cell holds a line break
     fields: list[Field] = field(default_factory=list)
 
 
@@ -102,16 +106,25 @@ def sniff(b: bytes) -> tuple[Layout, list[list[str]]]:
         if score > best:
             best, out.delimiter, parsed = score, d, rows
     _header(out, parsed)
+    out.multiline = any("\n" in c or "\r" in c for r in parsed for c in r)
+    if out.header and out.skip:  # blank records count where a file is read by position
+        full = [i for i, r in enumerate(_records(body, out.delimiter, out)) if any(c.strip() for c in r)]
+        out.skip = full[out.skip]
     return out, parsed
 
 
-def _parse(text: str, delimiter: str, x: Layout) -> list[list[str]]:
+def _records(text: str, delimiter: str, x: Layout) -> list[list[str]]:
+    """All records but those of empty lines, of which readers make none."""
     try:
-        return [r for r in csv.reader(io.StringIO(text), delimiter=delimiter, quotechar=x.quote, escapechar=x.escape) if any(c.strip() for c in r)]
+        return [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, quotechar=x.quote, escapechar=x.escape) if r]
     except csv.Error:
         return []
 
 
+def _parse(text: str, delimiter: str, x: Layout) -> list[list[str]]:
+    return [r for r in _records(text, delimiter, x) if any(c.strip() for c in r)]
+
+
 def _header(out: Layout, rows: list[list[str]]) -> None:
     """The header is the best of the first rows, if the types below differ from its own."""
     if not rows:
@@ -229,23 +242,50 @@ def typed(raw: DataFrame, fields: list[Field]) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFrame:
-    """A delimited file, typed by its sniffed layout; lines before the header are skipped by content."""
-    x = layout or sniff(head(spark, path))[0]
+    """A delimited file, or a folder of files alike, typed by its sniffed layout.
+
+    Records before the header are skipped by their place in the file, which only the
+    task that reads its beginning has to know. Where the sample has a quoted line break
+    a file is read as one piece, since it cannot be split at line breaks then. Records
+    without any character are left out; blank cells are null.
+    """
+    x = layout or sniff(head(spark, _first(spark, path)))[0]
     schema = T.StructType([T.StructField(f.name, T.StringType()) for f in x.fields])
-    r = spark.read.schema(schema).option("sep", x.delimiter).option("quote", x.quote).option("escape", x.escape or x.quote).option("encoding", x.encoding).option("mode", "PERMISSIVE").option("enforceSchema", "true").option("multiLine", "false")
+    r = spark.read.schema(schema).option("sep", x.delimiter).option("quote", x.quote).option("escape", x.escape or x.quote).option("encoding", x.encoding).option("mode", "PERMISSIVE").option("enforceSchema", "true").option("multiLine", str(x.multiline).lower())
     if x.comment:
         r = r.option("comment", x.comment)
-    raw = r.option("header", str(x.header and not x.skip).lower()).csv(path)
-    if x.skip:
-        lines = sniff(head(spark, path))[1][: x.skip + 1]
-        firsts = [c for r_ in lines for c in r_[:1]]
-        raw = raw.where(~F.coalesce(F.col(f"`{x.fields[0].name}`"), F.lit("")).isin(firsts))
-    return typed(raw, x.fields)
+    r = r.option("header", str(x.header and not x.skip).lower())
+    if not x.skip:
+        return typed(r.csv(path), x.fields)
+    parts = [_after(r.csv(p), x.skip + 1) for p in sorted(r.csv(path).inputFiles())]
+    return typed(reduce(DataFrame.unionAll, parts), x.fields)
+
+
+def _after(raw: DataFrame, n: int) -> DataFrame:
+    """One file's records without its first n: those of the split at its beginning, which its task reads first."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return raw.withColumns({"__begin": F.input_file_block_start(), "__place": place}).where((F.col("__begin") > 0) | (F.col("__place") >= n)).drop("__begin", "__place")
+
+
+def _first(spark: SparkSession, path: str) -> str:
+    """The file itself, or the first one of a folder."""
+    files = sorted(spark.read.format("binaryFile").load(path).inputFiles())
+    return files[0] if files else path
 
 
 def numbered(df: DataFrame, by: list[str]) -> DataFrame:
-    """A 1-based row number in the given order."""
-    return df.withColumn(ROWNUM, F.row_number().over(Window.orderBy(*by)))
+    """A 1-based row number in the given order; no task orders the whole table.
+
+    Rows go to ranges of the order; a row's number is its place in its range after the
+    numbers of rows in the ranges before, of which there is one row each.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    d = d.withColumn("__part", part).withColumn("__place", place)
+    n = d.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = n.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
+    return d.join(F.broadcast(before), "__part").withColumn(ROWNUM, (F.col("__before") + F.col("__place") + 1).cast("int")).drop("__part", "__place", "__at", "__before")
 
 
 def read_bytes(spark: SparkSession, b: bytes) -> DataFrame:
@@ -254,7 +294,7 @@ def read_bytes(spark: SparkSession, b: bytes) -> DataFrame:
     text = b.decode({"UTF-16LE": "utf-16-le", "UTF-16BE": "utf-16-be", "windows-1252": "cp1252"}.get(x.encoding, "utf-8"), "replace").lstrip("﻿")
     if x.comment:
         text = "\n".join(r for r in text.splitlines() if not r.startswith(x.comment))
-    rows = _parse(text, x.delimiter, x)[x.skip + x.header :]
+    rows = _records(text, x.delimiter, x)[x.skip + x.header :]
     w = len(x.fields)
     raw = spark.createDataFrame([tuple((r + [None] * w)[:w]) for r in rows], T.StructType([T.StructField(f.name, T.StringType()) for f in x.fields]))
     return typed(raw, x.fields)
@@ -268,14 +308,66 @@ def read_zip(spark: SparkSession, path: str, member: str | None = None) -> DataF
         return read_bytes(spark, z.read(name))
 
 
-def read_excel(spark: SparkSession, path: str, sheet: Any = 0) -> DataFrame:
-    """A sheet of an XLSX or XLS file, where a reader for it is installed."""
-    import pandas as pd
+_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+
+
+def sheet_rows(content: bytes, sheet: Any = 0) -> list[list[str]]:
+    """The cells of a sheet of an XLSX file as text; sheet: its place or its name.
+
+    Dates are numbers with a date format; they come out as ISO text, as booleans do as true and false.
+    """
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = z.namelist()
+        part = lambda n: ElementTree.fromstring(z.read(n))
+        shared = ["".join(x.text or "" for x in i.iter(f"{{{_NS['m']}}}t")) for i in part("xl/sharedStrings.xml").findall("m:si", _NS)] if "xl/sharedStrings.xml" in names else []
+        styles = part("xl/styles.xml") if "xl/styles.xml" in names else None
+        formats = {int(x.get("numFmtId")): x.get("formatCode", "") for x in styles.iter(f"{{{_NS['m']}}}numFmt")} if styles is not None else {}
+        used = [int(x.get("numFmtId", 0)) for x in styles.findall("m:cellXfs/m:xf", _NS)] if styles is not None else []
+        is_date = [14 <= i <= 22 or 45 <= i <= 47 or bool(re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", formats.get(i, "")), re.I)) for i in used]
+        links = {x.get("Id"): x.get("Target", "").lstrip("/").removeprefix("xl/") for x in part("xl/_rels/workbook.xml.rels")}
+        sheets = part("xl/workbook.xml").findall("m:sheets/m:sheet", _NS)
+        pick = sheets[sheet] if isinstance(sheet, int) else next(x for x in sheets if x.get("name") == sheet)
+        link = next(v for k, v in pick.attrib.items() if k.endswith("}id"))
+        out: list[list[str]] = []
+        for row in part(f"xl/{links[link]}").findall("m:sheetData/m:row", _NS):
+            cells: list[str] = []
+            for c in row.findall("m:c", _NS):
+                letters = re.match(r"[A-Z]+", c.get("r", ""))
+                at = reduce(lambda n, x: 26 * n + ord(x) - 64, letters[0], 0) - 1 if letters else len(cells)
+                cells += [""] * (at - len(cells)) + [_sheet_cell(c, shared, is_date)]
+            while len(out) < int(row.get("r", len(out) + 1)) - 1:
+                out.append([])
+            out.append(cells)
+        return out
+
+
+def _sheet_cell(c: ElementTree.Element, shared: list[str], is_date: list[bool]) -> str:
+    kind, v = c.get("t", "n"), c.find("m:v", _NS)
+    if kind == "inlineStr":
+        return "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
+    if v is None or v.text is None or kind == "e":
+        return ""
+    if kind == "s":
+        return shared[int(v.text)]
+    if kind == "b":
+        return "true" if v.text == "1" else "false"
+    style = int(c.get("s", 0))
+    if kind == "n" and style < len(is_date) and is_date[style]:
+        when = datetime(1899, 12, 30) + timedelta(seconds=round(float(v.text) * 86400))
+        return when.strftime("%Y-%m-%d" if when.time() == time(0) else "%Y-%m-%d %H:%M:%S" if float(v.text) >= 1 else "%H:%M:%S")
+    return str(int(float(v.text))) if kind == "n" and float(v.text).is_integer() else v.text
 
-    content = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    t = pd.read_excel(io.BytesIO(bytes(content)), sheet_name=sheet, dtype=str, header=None)
+
+def read_excel(spark: SparkSession, path: str, sheet: Any = 0) -> DataFrame:
+    """A sheet of an XLSX file; of an XLS file where pandas has a reader for it. The file must fit in the driver."""
+    content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
     out = io.StringIO()
-    t.to_csv(out, index=False, header=False)
+    if content[:2] == b"PK":
+        csv.writer(out).writerows(sheet_rows(content, sheet))
+    else:
+        import pandas as pd
+
+        pd.read_excel(io.BytesIO(content), sheet_name=sheet, dtype=str, header=None).to_csv(out, index=False, header=False)
     return read_bytes(spark, out.getvalue().encode())
 
 

@@ -60,6 +60,10 @@ class View:
 
     expand_to = set_depth
 
+    def nested(self) -> DataFrame:
+        """The view with one path for each row in place of its pivot columns."""
+        return planner.nested(self.to_df(), [planner.key_name(p) for p in self.config.row_pivots], "row_level" if self.sides == 2 else "level")
+
     def children(self, *path: Any) -> DataFrame:
         """The rows right below a path: what expanding that node shows."""
         keys = [planner.key_name(p) for p in self.config.row_pivots]
@@ -166,13 +170,24 @@ class Table:
         self.spark, self.index, self.limit = spark, index, limit
         self._views: list[View] = []
         self._deleted: list[Callable] = []
-        self._batch = 0
+        self._batch = self._arrivals = 0
         self._rows = self._arrived(build.frame(spark, data))
         self._settle()
 
     def _arrived(self, df: DataFrame) -> DataFrame:
-        """Rows numbered in order of arrival: by batch, then by place in it."""
-        if ARRIVAL not in df.columns:
+        """Rows numbered in order of arrival: by batch, then by place in it.
+
+        A ring needs numbers without gaps: a row's place in its partition after the rows of the
+        partitions before, which are counted. Only the counts reach the driver.
+        """
+        if ARRIVAL not in df.columns and self.limit:
+            part, place = F.shiftright(F.monotonically_increasing_id(), 33), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+            before = {}
+            for p, n in sorted(map(tuple, df.select(part.alias("p")).groupBy("p").count().collect())):
+                before[p], self._arrivals = self._arrivals, self._arrivals + n
+            bases = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.lit(None).cast("map<bigint,bigint>")
+            df = df.withColumn(ARRIVAL, place + F.element_at(bases, part).cast("long"))
+        elif ARRIVAL not in df.columns:
             df = df.withColumn(ARRIVAL, F.struct(F.lit(self._batch).alias("batch"), F.monotonically_increasing_id().alias("place")))
         self._batch += 1
         return df
@@ -181,8 +196,7 @@ class Table:
         if self.index:
             self._rows = updates.latest(self._rows, self.index, ARRIVAL)
         elif self.limit:
-            n = F.row_number().over(planner.Window.orderBy(ARRIVAL)) - 1
-            self._rows = updates.ring(self._rows.withColumn("__n", n), self.limit, "__n").drop("__n")
+            self._rows = updates.ring(self._rows, self.limit, ARRIVAL)
 
     @property
     def df(self) -> DataFrame:

@@ -10,7 +10,7 @@ from lattica.plans import registry
 
 SF = "/root/testdata/sf0.001"
 #: On the smallest tables no row would be left, and a view of no rows has no total row.
-LARGER = ("having_inner", "having_outer", "narrowed_integers")
+LARGER = ("having_inner", "having_outer")
 
 
 def plain(v):

@@ -16,9 +16,9 @@ def test_batches_overlap_and_cover_the_table(spark):
 
 def test_append_and_remove_read_all_rows(spark):
     n = registry.t(spark, SF, "events").count()
-    assert sum(r.n for r in registry.QUERIES["update_append_whole"](spark, SF).collect()) == 1.2 * n
-    assert {r.event_type for r in registry.QUERIES["update_deltas_whole"](spark, SF).collect()} == {r.event_type for r in registry.t(spark, SF, "events").collect()}
-    assert 0 < registry.QUERIES["update_remove_whole"](spark, SF).count() < registry.t(spark, SF, "orders").count()
+    assert sum(r.n for r in registry.QUERIES["update_append"](spark, SF).collect()) == 1.2 * n
+    assert {r.event_type for r in registry.QUERIES["update_deltas"](spark, SF).collect()} == {r.event_type for r in registry.t(spark, SF, "events").collect()}
+    assert 0 < registry.QUERIES["update_remove"](spark, SF).count() < registry.t(spark, SF, "orders").count()
 
 
 @pytest.mark.parametrize("name", ["update_upsert", "water_marks"])
@@ -27,6 +27,6 @@ def test_stored_side_grows_with_the_table(spark, name):
     assert "6000" not in plan and "4000" not in plan
 
 
-@pytest.mark.parametrize("name", ["filter_no_value_whole", "filter_all_date_range_whole"])
+@pytest.mark.parametrize("name", ["filter_no_value", "filter_all_date_range"])
 def test_filters_without_effect_keep_all_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() == registry.t(spark, SF, "orders").count()
