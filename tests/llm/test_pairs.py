@@ -3,14 +3,17 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import components as C
 from lattica.llm import decontam as D
 from lattica.llm import embed_neardup as E
 from lattica.llm import jaccard_join as J
+from lattica.llm import queries
 from lattica.llm.common import table
 
 
@@ -325,3 +328,15 @@ def test_recall_with_many_pivots():
         p = E.choose_pivots(x[: E.SAMPLE], E.n_pivots(n))
         a, b = (np.argsort(-(v @ p.T), axis=1)[:, : E.NEAREST] for v in (q, y))
         assert ((a[:, :, None] == b[:, None, :]).sum((1, 2)) >= E.SHARED).mean() >= 0.95
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_against_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
