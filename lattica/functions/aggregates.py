@@ -82,6 +82,29 @@ ONE_PASS: dict[str, Callable[[Column, Column | None, str], Column]] = {
     "pct sum parent": _sum,
     "pct sum grand total": _sum,
 }
+#: Those that can be put together from parts of a group: by part how it is taken and how parts are joined.
+PARTS: dict[str, dict[str, tuple[Callable[[Column], Column], Callable[[str], Column]]]] = {
+    **dict.fromkeys(("sum", "pct sum parent", "pct sum grand total"), {"sum": (F.sum, F.sum)}),
+    "sum abs": {"sum": (lambda c: F.sum(F.abs(c)), F.sum)},
+    "count": {"count": (lambda c: F.count(F.lit(1)), F.sum)},
+    **dict.fromkeys(("avg", "mean", "mean by count"), {"sum": (lambda c: F.sum(c.cast("double")), F.sum), "count": (F.count, F.sum)}),
+    **dict.fromkeys(("high", "max"), {"top": (F.max, F.max)}),
+    **dict.fromkeys(("low", "min", "identity"), {"top": (F.min, F.min)}),
+}
+
+
+def in_parts(ops: list[str]) -> bool:
+    return all(op in PARTS for op in ops)
+
+
+def whole(op: str, name: str, kind: str) -> Column:
+    """An aggregate from its parts, which stand in columns ``__<part>_<name>``."""
+    joined = [join(f"__{k}_{name}") for k, (_, join) in PARTS[op].items()]
+    if len(joined) == 2:
+        return F.try_divide(*joined)
+    return F.coalesce(joined[0], F.lit(0).cast("double" if kind in ("double", "float") else "long")) if "sum" in PARTS[op] else joined[0]
+
+
 #: Counted by value first.
 TWO_PHASE = ("median", "dominant")
 #: From other aggregates of the same view: scaled sums, quotients and products, and a copy.

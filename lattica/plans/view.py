@@ -20,6 +20,7 @@ from ..config import ITEMS, PERCENT, Agg, ConfigError, Having, Limit, Pivot, Vie
 from ..functions import aggregates as A
 from ..functions import computed, levels
 from ..operators import filters, search
+from .stable import placed
 
 MAX_COLUMNS = 2000
 
@@ -76,18 +77,8 @@ def flat(df: DataFrame, v: ViewConfig, now: datetime | None = None) -> DataFrame
 
 
 def first_share(df: DataFrame, by: list[Column], percent: float) -> DataFrame:
-    """The first rows in an order, a share of all, one at least.
-
-    The order is dealt over tasks by ranges, and each row's place is that in its range
-    after the ranges before, of which only the numbers of rows meet.
-    """
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = (df.repartitionByRange(ranges, *by).sortWithinPartitions(*by) if by else df).withColumn("__at", F.monotonically_increasing_id())
-    n = d.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = n.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(F.lit(1))).alias("__all"))
-    d = d.join(F.broadcast(before), F.shiftright("__at", 33) == F.col("__part"))
-    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return d.where(place < F.greatest(F.lit(1), F.floor(F.col("__all") * percent / 100))).drop("__at", "__part", "__before", "__all")
+    """The first rows in an order, a share of all, one at least."""
+    return placed(df, by).where(F.col("__place") < F.greatest(F.lit(1), F.floor(F.col("__all") * percent / 100))).drop("__place", "__all")
 
 
 def page(df: DataFrame, by: list[Column], number: int, size: int) -> DataFrame:
@@ -132,14 +123,24 @@ def _aggregate(d: DataFrame, v: ViewConfig, sets: list[list[str]], keys: list[st
             one.append(A.ONE_PASS[a.op](F.col(f"__in_{name}"), by, kind).alias(name))
     marks = [F.grouping(k).alias(f"__g_{k}") for k in keys]
     grouped = lambda e: e.groupingSets([[F.col(k) for k in s] for s in sets], *keys)
-    if keys:
+    if keys and len(sets) > 1 and A.in_parts([a.op for a in v.aggregates.values() if a.op not in (*A.TWO_PHASE, *A.AFTER)]):
+        # the finest groups first, so that it is they and not the rows that are expanded by the grouping sets
+        parts, one = [F.count(F.lit(1)).alias("__n")], [F.sum("__n").alias("__n")]
+        for name, a in v.aggregates.items():
+            if a.op not in (*A.TWO_PHASE, *A.AFTER):
+                for k, (part, _) in A.PARTS[a.op].items():
+                    parts.append(part(F.col(f"__in_{name}")).alias(f"__{k}_{name}"))
+                one.append(A.whole(a.op, name, d.schema[f"__in_{name}"].dataType.typeName()).alias(name))
+        out = grouped(d.groupBy(*keys).agg(*parts)).agg(*marks, *one)
+    elif keys:
         out = grouped(d).agg(*marks, *(one or [F.count(F.lit(1)).alias("__n")]))
     else:
         out = d.agg(*(one or [F.count(F.lit(1)).alias("__n")]))
     for name, a in two.items():
         value = F.col(f"__in_{name}")
         if keys:
-            c = d.withColumn("__v", value).groupingSets([[*[F.col(k) for k in s], F.col("__v")] for s in sets], *keys, "__v").agg(*marks, F.count(F.lit(1)).alias("__n"))
+            c = d.groupBy(*keys, value.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+            c = c.groupingSets([[*[F.col(k) for k in s], F.col("__v")] for s in sets], *keys, "__v").agg(*marks, F.sum("__n").alias("__n"))
         else:
             c = d.groupBy(value.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
         on = [*keys, *[f"__g_{k}" for k in keys]]

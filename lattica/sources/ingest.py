@@ -19,10 +19,12 @@ from functools import reduce
 from typing import Any
 from xml.etree import ElementTree
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.stable import placed
+
 SAMPLE_BYTES = 1 << 20
 SAMPLE_ROWS = 100
 ERROR, ROWNUM = "__error__", "__rownum__"
@@ -274,18 +276,8 @@ def _first(spark: SparkSession, path: str) -> str:
 
 
 def numbered(df: DataFrame, by: list[str]) -> DataFrame:
-    """A 1-based row number in the given order; no task orders the whole table.
-
-    Rows go to ranges of the order; a row's number is its place in its range after the
-    numbers of rows in the ranges before, of which there is one row each.
-    """
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
-    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    d = d.withColumn("__part", part).withColumn("__place", place)
-    n = d.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = n.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
-    return d.join(F.broadcast(before), "__part").withColumn(ROWNUM, (F.col("__before") + F.col("__place") + 1).cast("int")).drop("__part", "__place", "__at", "__before")
+    """A 1-based row number in the given order; no task orders the whole table."""
+    return placed(df, by).withColumn(ROWNUM, (F.col("__place") + 1).cast("int")).drop("__place", "__all")
 
 
 def read_bytes(spark: SparkSession, b: bytes) -> DataFrame:

@@ -16,6 +16,8 @@ from .plans import view as planner
 from .sources import build, sinks
 
 ARRIVAL = "__arrival"
+#: Updates after which the rows are written, so that plans stay short.
+ROUNDS = 8
 
 
 class View:
@@ -170,7 +172,8 @@ class Table:
         self.spark, self.index, self.limit = spark, index, limit
         self._views: list[View] = []
         self._deleted: list[Callable] = []
-        self._batch = self._arrivals = 0
+        self._batch = self._arrivals = self._since = 0
+        self._held: DataFrame | None = None
         self._rows = self._arrived(build.frame(spark, data))
         self._settle()
 
@@ -198,6 +201,20 @@ class Table:
         elif self.limit:
             self._rows = updates.ring(self._rows, self.limit, ARRIVAL)
 
+    def _kept(self) -> None:
+        """Every ROUNDS updates write the rows to the folder that executors share, if there is one, else hold them in memory and on disk."""
+        self._since += 1
+        if self._since < ROUNDS:
+            return
+        self._since = 0
+        if self.spark.sparkContext.getCheckpointDir():
+            self._rows = self._rows.checkpoint(eager=True)
+        else:
+            old, self._held = self._held, self._rows.persist()
+            self._held.count()
+            if old is not None:
+                old.unpersist()
+
     @property
     def df(self) -> DataFrame:
         return self._rows.drop(ARRIVAL)
@@ -234,6 +251,7 @@ class Table:
         self._changed([(v, None) for v in self._views], None)
 
     def _changed(self, before: list, new: DataFrame | None) -> None:
+        self._kept()
         for v, old in before:
             v.disable_cache()
             if v._callbacks:

@@ -75,3 +75,26 @@ def test_watermarked_window_on_a_stream(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.total for r in spark.table("windows").collect()) == [3.0, 4.0]
+
+
+def test_state_rewrites_only_touched_buckets(spark, tmp_path):
+    import os
+    import random
+
+    rng = random.Random(3)
+    schema = spark.createDataFrame([], "k long, v string, at long").schema
+    state = KeyedState(spark, str(tmp_path / "s"), schema, "k", "at", buckets=8)
+    want: dict = {}
+    at = 0
+    for n in range(12):
+        rows = []
+        for _ in range(rng.randint(1, 4) if n else 40):
+            at += 1
+            k, gone = rng.randint(1, 30), n > 0 and rng.random() < 0.3
+            rows.append((k, None if gone else f"x{at}", at, "delete" if gone else None))
+            want.pop(k, None) if gone else want.update({k: f"x{at}"})
+        for _ in range(2 if n % 4 == 0 else 1):  # a batch that is run again changes nothing
+            state.apply(spark.createDataFrame(rows, "k long, v string, at long, __op string"), n)
+        assert {r.k: r.v for r in state.read().collect()} == want
+    folders = [f for v in os.listdir(tmp_path / "s") if v[0] == "v" for f in os.listdir(tmp_path / "s" / v) if f.startswith("__bucket")]
+    assert len(folders) <= 16  # two states at most
