@@ -9,6 +9,7 @@ from .functions.aggregates import AGGREGATES
 from .functions.levels import LEVELS, Bins
 from .operators.filters import OPS
 
+#: Names of sort and show types.
 SORTS = ("none", "asc", "desc", "asc abs", "desc abs", "col asc", "col desc", "col asc abs", "col desc abs")
 SHOWS = ("default", "%_of_row", "%_of_column", "%_of_grand_total", "%_of_parent_row", "%_of_parent_column", "running_total", "running_%", "diff_from_prev_value", "%_of_prev_value")
 ITEMS, PERCENT = "Items", "Percent"

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EDGE, CONTAINS, EQUALS, STARTS = "edge", "contains", "equals", "startswith"
-SUGGESTION_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -69,8 +68,8 @@ def apply(df: DataFrame, s: Search) -> DataFrame:
 
 
 def suggestions(df: DataFrame, column: str, term: str | None = None, n: int | None = None, mode: str = CONTAINS) -> DataFrame:
-    """Distinct values of a column in order, of at most the first SUGGESTION_ROWS rows."""
-    d = df.select(column).limit(SUGGESTION_ROWS)
+    """Distinct values of a column in order, of all rows: one aggregation that combines on the map side."""
+    d = df.select(column)
     if term:
         d = d.where(match(F.col(column), df.schema[column].dataType.typeName(), term, mode))
     d = d.where(F.col(column).isNotNull()).distinct().orderBy(column)

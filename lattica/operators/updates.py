@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stable import stable
+
 
 def append(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
@@ -76,6 +78,7 @@ def parent_tree(df: DataFrame, key: str, parent: str) -> DataFrame:
         up = out.where("__k is not null").dropDuplicates(["__k"]).select(F.col("__k").alias("__u"), F.col("__p").alias("__up"), F.col("path").alias("__path"))
         free = ~F.arrays_overlap("path", "__path")
         out = out.join(up, F.col("__p") == F.col("__u"), "left").select("__k", F.when(free, F.col("__up")).alias("__p"), F.when(free, F.concat("__path", "path")).otherwise(F.col("path")).alias("path"))
+        out = stable(out)  # so that plans don't double with the paths
         if out.where("__p is not null").isEmpty():
             return out.select(F.col("__k").alias(key), "path", F.size("path").alias("depth"))
 

@@ -98,3 +98,12 @@ def test_state_rewrites_only_touched_buckets(spark, tmp_path):
         assert {r.k: r.v for r in state.read().collect()} == want
     folders = [f for v in os.listdir(tmp_path / "s") if v[0] == "v" for f in os.listdir(tmp_path / "s" / v) if f.startswith("__bucket")]
     assert len(folders) <= 16  # two states at most
+
+
+def test_ancestors_at_any_depth(spark):
+    from lattica.operators import updates
+
+    rows = [(i, i - 1 if i else None) for i in range(11)] + [(20, 99), (30, 31), (31, 30), (40, 40), (None, 3)]
+    got = {r.k: r.path for r in updates.parent_tree(spark.createDataFrame(rows, "k long, up long"), "k", "up").collect()}
+    assert all(got[i] == list(range(i + 1)) for i in range(11)) and got[20] == [20] and got[40] == [40]
+    assert set(got[30]) == set(got[31]) == {30, 31} and got[30][-1] == 30
