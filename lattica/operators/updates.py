@@ -46,6 +46,13 @@ def ring(df: DataFrame, limit: int, arrival: str) -> DataFrame:
     return latest(df.withColumn("__slot", F.pmod(F.col(arrival), F.lit(limit))), "__slot", arrival).drop("__slot")
 
 
+def tails(df: DataFrame, limit: int, at: str) -> DataFrame:
+    """The last ``limit`` rows of each partition, with the partition and the place in it as of monotonically_increasing_id."""
+    place = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    d = df.withColumn(at, F.monotonically_increasing_id())
+    return latest(d.withColumn("__slot", F.col(at) - place + F.pmod(place, F.lit(limit))), "__slot", at).drop("__slot")
+
+
 def transitions(old: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
     """By key how a cell changed: added, removed, same, changed, set or cleared."""
     a = old.select(key, F.col(column).alias("old"), F.lit(True).alias("__o"))

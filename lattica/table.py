@@ -13,6 +13,7 @@ from .config import ViewConfig
 from .functions import aggregates, computed, levels
 from .operators import filters, search, updates
 from .plans import view as planner
+from .plans.stable import stable
 from .sources import build, sinks
 
 ARRIVAL = "__arrival"
@@ -181,13 +182,15 @@ class Table:
         """Rows numbered in order of arrival: by batch, then by place in it.
 
         A ring needs numbers without gaps: a row's place in its partition after the rows of the
-        partitions before, which are counted. Only the counts reach the driver.
+        partitions before, which are counted. Only the counts reach the driver. The newest rows of each
+        partition are computed once, since a plan that runs again may deal rows to partitions otherwise.
         """
         if ARRIVAL not in df.columns and self.limit:
-            part, place = F.shiftright(F.monotonically_increasing_id(), 33), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+            df = stable(updates.tails(df, self.limit, ARRIVAL))
+            part, place = F.shiftright(ARRIVAL, 33), F.col(ARRIVAL).bitwiseAND(F.lit((1 << 33) - 1))
             before = {}
-            for p, n in sorted(map(tuple, df.select(part.alias("p")).groupBy("p").count().collect())):
-                before[p], self._arrivals = self._arrivals, self._arrivals + n
+            for p, last in sorted(map(tuple, df.groupBy(part.alias("p")).agg(F.max(place)).collect())):
+                before[p], self._arrivals = self._arrivals, self._arrivals + last + 1
             bases = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.lit(None).cast("map<bigint,bigint>")
             df = df.withColumn(ARRIVAL, place + F.element_at(bases, part).cast("long"))
         elif ARRIVAL not in df.columns:

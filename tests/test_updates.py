@@ -37,6 +37,27 @@ def test_append_ring_replace_clear(spark):
         table(spark, [{"x": 1}], index="x", limit=3)
 
 
+def test_ring_of_rows_sorted_by_sampled_ranges(spark):
+    n = 600_000  # beyond the sample that bounds the ranges of a sort, which differs each time a plan runs
+    rows_in_order = spark.range(n, numPartitions=2).select((F.col("id") * 7919 % n).alias("x")).orderBy("x")
+    ring = table(spark, rows_in_order, limit=100)
+    assert rows(ring, "x") == sorted(((i,) for i in range(n - 100, n)), key=str)
+    ring.update(rows_in_order.limit(30))
+    assert rows(ring, "x") == sorted(((i,) for i in [*range(n - 70, n), *range(30)]), key=str)
+
+
+def test_ring_smaller_or_larger_than_partitions(spark):
+    d = spark.range(100, numPartitions=7)
+    for limit in (1, 5, 40, 99, 100, 1000):
+        ring = table(spark, d, limit=limit)
+        assert sorted(r.id for r in ring.df.collect()) == list(range(max(0, 100 - limit), 100))
+        ring.update(d.where("id < 3"))
+        assert sorted(r.id for r in ring.df.collect()) == sorted([*range(100), 0, 1, 2][-limit:] if limit < 103 else [*range(100), 0, 1, 2])
+        ring.update(d.limit(0))
+        ring.update(d)
+        assert sorted(r.id for r in ring.df.collect()) == sorted([*range(100), 0, 1, 2, *range(100)][-limit:])
+
+
 def test_callbacks(spark):
     t = table(spark, [{"x": 1, "y": "a"}, {"x": 2, "y": "b"}], index="y")
     v = t.view(row_pivots=["y"], aggregates={"n": Agg("sum", "x")})
