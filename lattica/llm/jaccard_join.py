@@ -6,11 +6,11 @@ link when ``100 * intersection >= 85 * union``. The steps:
 1. Documents with equal sets form one class, of which the smallest id goes on.
 2. Sets are ordered by a global order, rare shingles first. Sets that link share a
    shingle within the first ``n - ceil(0.85 n) + 1`` of either, its prefix. How
-   common a shingle is comes from a bounded sample; any order gives the same
-   links, the sample only makes lists short.
+   common a shingle is comes from all documents, counted in ``BUCKETS`` of hashes; any order
+   gives the same links, the counts only make lists short.
 3. Classes with equal prefixes and sizes are one group, which is posted once. Prefix
-   shingles with one and the same list of groups are one list. Shingles that a share
-   of ``HOT_SHARE`` of the sample has are counted by an aggregate that combines on the
+   shingles with one and the same list of groups are one list. Shingles whose bucket a share
+   of ``HOT_SHARE`` of the documents has are counted by an aggregate that combines on the
    map side, the others in a window.
 4. In a list, group pairs are filtered by size, then expanded to members. Each set has a
    parity sketch (a bit for each hash bucket, set if the bucket holds an odd number of
@@ -28,6 +28,7 @@ Sets are compared by shingle hashes; a false link would need colliding 64-bit ha
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Chunk, bounded_ids, chunks, cut, fold_ascii, ids_frame, mix, release, small_batches, tidy
+from .common import Chunk, chunks, cut, fold_ascii, mix, release, small_batches, tidy
 from .components import apart, components, each_group, hot_join
 
 SHINGLE = 4
 PERCENT = 85
-SAMPLE_DOCS = 16_000
-SAMPLE_SHINGLES = 4096
-MOST_COMMON = 500_000
+#: Shingles are counted by the first bits of their hashes; a count is never too small.
+BUCKET_BITS = 22
+BUCKETS = 1 << BUCKET_BITS
+COUNTS_BLOCK = 1 << 16
 HOT_SHARE = 0.004
 HOT_LEAST = 16
 LIST_BLOCK = 2048
@@ -76,9 +78,9 @@ def shingles(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return doc[keep], mix(code[keep])
 
 
-def _distinct(doc: np.ndarray, h: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each document, by rank and hash."""
-    o = np.lexsort((h, doc)) if rank is None else np.lexsort((h, rank, doc))
+def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each document, by hash."""
+    o = np.lexsort((h, doc))
     doc, h = doc[o], h[o]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -94,21 +96,17 @@ def sketch_bits(n: np.ndarray) -> np.ndarray:
     return 1 << np.maximum(7, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
 
 
-def _sets(batches: Iterator[pa.Array], limit: int | None = None) -> Iterator[pa.Array]:
+def _sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for arr in batches:
         out: list = [[]] * len(arr)
         for c in chunks(arr, FOLD):
             d, h = _distinct(*shingles(c))
             cuts = np.searchsorted(d, np.arange(len(c.rows) + 1))
             for i, r in enumerate(c.rows.tolist()):
-                out[r] = h[cuts[i] : cuts[i + 1]][:limit].view(np.int64)
+                out[r] = h[cuts[i] : cuts[i + 1]].view(np.int64)
         yield pa.array(out, pa.list_(pa.int64()))
 
 
-def _some_of_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    return _sets(batches, SAMPLE_SHINGLES)
-
-
 def _sums(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each set: sums over its shingles."""
     full = np.diff(cuts) > 0
@@ -128,32 +126,70 @@ def _whole_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), s], names=["h1", "h2", "s"])
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Shingles that occur in two sampled sets at least, sorted, and in how many; and the hot ones."""
-    ids = bounded_ids(docs, "id", SAMPLE_DOCS, "jaccard")
-    some = docs.join(F.broadcast(ids_frame(docs.sparkSession, ids, "id")), "id").select(arrow_udf(tidy(_some_of_set), "array<long>")("text").alias("s"))
-    hot = max(HOT_LEAST, HOT_SHARE * len(ids))  # an average of a set's size / HOT_SHARE shingles at most
-    counted = some.groupBy("s").agg(F.count(F.lit(1)).alias("m")).select(F.explode("s").alias("s"), "m").groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("m"))
-    rows = counted.where((F.col("c") > 1) | (F.col("m") >= hot)).orderBy(F.desc("m"), "s").limit(MOST_COMMON).toArrow()
-    h, n, m = (rows[k].to_numpy() for k in ("s", "c", "m"))
-    o = np.argsort(h.view(np.uint64))
-    return h.view(np.uint64)[o], n[o], h[m >= hot].tolist()
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _rank(n: np.ndarray) -> np.ndarray:
+    """Counts in steps of a ninth, so that one takes a byte; a larger count never has a smaller rank."""
+    return (8 * np.log2(1.0 + n)).astype(np.uint8)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many of a task's documents each bucket has a shingle, in blocks; of copies within a task one counts."""
+    n = np.zeros(BUCKETS, np.uint32)
+    seen = np.zeros(0, np.uint64)
+    for batch in batches:
+        for c in chunks(batch.column(0), FOLD):
+            d, h = shingles(c)
+            if not len(h):
+                continue
+            first = np.flatnonzero(np.diff(d, prepend=-1))
+            own, at = np.unique(np.add.reduceat(h, first), return_index=True)
+            place = np.searchsorted(seen, own)
+            new = np.ones(len(own), bool)
+            inside = place < len(seen)
+            new[inside] = seen[place[inside]] != own[inside]
+            seen = np.insert(seen, place[new], own[new])
+            keep = np.zeros(len(c.rows), bool)
+            keep[d[first[at[new]]]] = True
+            keep = keep[d]
+            np.add.at(n, np.unique(d[keep] << BUCKET_BITS | _bucket(h[keep])) & (BUCKETS - 1), np.uint32(1))
+    blocks = n.reshape(-1, COUNTS_BLOCK)
+    some = np.flatnonzero(blocks.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([zlib.compress(blocks[k].tobytes(), 1) for k in some.tolist()], pa.binary())], names=["block", "n"])
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, z in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held.setdefault(k, np.zeros(COUNTS_BLOCK, np.int64))
+            held[k] += np.frombuffer(zlib.decompress(z.as_py()), np.uint32)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([_rank(n).tobytes() for n in held.values()], pa.binary())], names=["block", "rank"])
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """By bucket the rank of its count over all documents; and the rank from which on shingles are hot."""
+    ranks = docs.select("text").mapInArrow(tidy(_counted), "block long, n binary").repartition("block").mapInArrow(tidy(_ranked), "block long, rank binary").toArrow()
+    out = np.zeros((BUCKETS // COUNTS_BLOCK, COUNTS_BLOCK), np.uint8)
+    for k, r in zip(ranks["block"].to_pylist(), ranks["rank"].to_pylist(), strict=True):
+        out[k] = np.frombuffer(r, np.uint8)
+    return out.ravel(), int(_rank(np.array(max(HOT_LEAST, HOT_SHARE * docs.count()))))
 
 
 def _describe(common):
-    kind = "struct<n:long,h1:long,h2:long,prefix_key:long,prefix:array<long>,sketch:binary>"
+    kind = "struct<n:long,h1:long,h2:long,prefix_key:long,hot:long,prefix:array<long>,sketch:binary>"
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, count, _ = common.value
+        ranks, hot_rank = common.value
         for arr in batches:
-            rows: list = [{"n": 0, "h1": 0, "h2": 0, "prefix_key": 0, "prefix": [], "sketch": b""}] * len(arr)
+            rows: list = [{"n": 0, "h1": 0, "h2": 0, "prefix_key": 0, "hot": 0, "prefix": [], "sketch": b""}] * len(arr)
             for c in chunks(arr, FOLD):
                 d, h = shingles(c)
-                rank = np.zeros(len(h), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    rank = np.where(known[at] == h, count[at], 0)
-                d, h = _distinct(d, h, rank)
+                d, h = _distinct(d << 8 | ranks[_bucket(h)], h)  # by rank, then hash
+                hot = (d & 255) >= hot_rank
+                d = d >> 8
                 n = np.bincount(d, minlength=len(c.rows))
                 cuts = np.concatenate(([0], np.cumsum(n)))
                 p, bits = prefix_size(n), sketch_bits(n)
@@ -165,10 +201,10 @@ def _describe(common):
                 for i, r in enumerate(c.rows.tolist()):
                     if n[i]:
                         pre = h[cuts[i] : cuts[i] + p[i]]
-                        rows[r] = {"n": int(n[i]), "h1": int(h1[i].view(np.int64)), "h2": int(h2[i].view(np.int64)), "prefix_key": int(other[cuts[i] : cuts[i] + p[i]].sum().view(np.int64)), "prefix": pre.view(np.int64), "sketch": packed[base[i] // 8 : base[i + 1] // 8]}
+                        rows[r] = {"n": int(n[i]), "h1": int(h1[i].view(np.int64)), "h2": int(h2[i].view(np.int64)), "prefix_key": int(other[cuts[i] : cuts[i] + p[i]].sum().view(np.int64)), "hot": int(hot[cuts[i] : cuts[i] + p[i]].sum()), "prefix": pre.view(np.int64), "sketch": packed[base[i] // 8 : base[i + 1] // 8]}
             yield pa.StructArray.from_arrays(
-                [*(pa.array([r[k] for r in rows], pa.int64()) for k in ("n", "h1", "h2", "prefix_key")), pa.array([r["prefix"] for r in rows], pa.list_(pa.int64())), pa.array([r["sketch"] for r in rows], pa.binary())],
-                names=["n", "h1", "h2", "prefix_key", "prefix", "sketch"],
+                [*(pa.array([r[k] for r in rows], pa.int64()) for k in ("n", "h1", "h2", "prefix_key", "hot")), pa.array([r["prefix"] for r in rows], pa.list_(pa.int64())), pa.array([r["sketch"] for r in rows], pa.binary())],
+                names=["n", "h1", "h2", "prefix_key", "hot", "prefix", "sketch"],
             )
 
     return arrow_udf(tidy(run), kind)
@@ -298,26 +334,24 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    common = common_shingles(docs)
-    shared = spark.sparkContext.broadcast(common)
+    shared = spark.sparkContext.broadcast(common_shingles(docs))
     base = cut(docs.select("id", _describe(shared)("text").alias("d")).select("id", "d.*"))
     one = base.groupBy("id").agg(F.min(F.struct(F.col("n") == 0, "h1", "h2", "n", "prefix_key")).alias("r")).select("id", "r.h1", "r.h2", "r.n", "r.prefix_key")
     one = cut(one)
     classes = cut(one.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min("prefix_key").alias("prefix_key"), F.count(F.lit(1)).alias("copies")))
     of_group = classes.groupBy("n", "prefix_key").agg(F.min("rep").alias("gid"))
     reps = classes.join(of_group, ["n", "prefix_key"]).select(F.col("rep").alias("id"), "h1", "h2", "gid")
-    rep = cut(base.join(reps, ["id", "h1", "h2"]).select("id", "gid", "n", "prefix_key", "prefix", "sketch"))
+    rep = cut(base.join(reps, ["id", "h1", "h2"]).select("id", "gid", "n", "prefix_key", "hot", "prefix", "sketch"))
     rows = cut(base.select("id", "n"))
     del base, of_group, reps
     release(spark)
 
     xors = [F.bit_xor(F.xxhash64(F.lit(k), "gid")) for k in (1, 2)]
     same = Window.partitionBy("shingle")
-    hot = F.broadcast(spark.createDataFrame([(h,) for h in common[2]], "shingle long"))
-    posted = rep.where("id = gid").select("gid", F.explode("prefix").alias("shingle"))
-    cold = posted.join(hot, "shingle", "left_anti").select("gid", F.count(F.lit(1)).over(same).alias("c"), *[x.over(same).alias(f"x{k}") for k, x in enumerate(xors, 1)])
-    warm = posted.join(hot, "shingle", "left_semi")
-    warm = warm.join(F.broadcast(warm.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), *[x.alias(f"x{k}") for k, x in enumerate(xors, 1)])), "shingle")  # as few as the hot shingles
+    own = rep.where("id = gid").withColumn("least", F.size("prefix") - F.col("hot"))
+    cold = own.select("gid", F.explode(F.expr("slice(prefix, 1, least)")).alias("shingle")).select("gid", F.count(F.lit(1)).over(same).alias("c"), *[x.over(same).alias(f"x{k}") for k, x in enumerate(xors, 1)])
+    warm = own.select("gid", F.explode(F.expr("slice(prefix, least + 1, hot)")).alias("shingle"))  # hot shingles are a prefix's last
+    warm = hot_join(warm, warm.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), *[x.alias(f"x{k}") for k, x in enumerate(xors, 1)]), ["shingle"], "c", warm.count())
     posted = cold.unionByName(warm.drop("shingle"))
     # a list of one group joins the group's members, which all groups do below
     lists = posted.where("c > 1").select("gid", F.xxhash64("c", "x1", "x2").alias("list")).unionByName(rep.where("id <> gid").select("gid", F.xxhash64(F.lit("group"), "gid").alias("list"))).distinct()
@@ -326,7 +360,7 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     size = lists.join(of_group, "gid").groupBy("list").agg(F.sum("members").alias("size"), F.count(F.lit(1)).alias("groups"))
     sized = hot_join(lists, cut(size), ["list"], "groups", lists.count()).groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("list", "size"))).alias("sized"))
     member = cut(rep.select("id", "gid", "n", "prefix_key", "sketch").join(sized, "gid").drop("gid"))
-    del rep, posted, cold, warm, lists, of_group, size, sized
+    del rep, own, posted, cold, warm, lists, of_group, size, sized
     release(spark)
 
     group = ["list", "lo", "hi"]

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -14,7 +15,7 @@ from lattica.llm import decontam as D
 from lattica.llm import embed_neardup as E
 from lattica.llm import jaccard_join as J
 from lattica.llm import queries
-from lattica.llm.common import table
+from lattica.llm.common import chunks, table
 
 
 def groups(ids, links):
@@ -123,6 +124,34 @@ def test_jaccard_on_documents(spark):
     assert got == brute_jaccard({r["doc_id"]: r["text"] for r in d.collect()})
 
 
+def test_shingles_are_counted_in_all_documents(spark):
+    rng = random.Random(9)
+    d = spark.range(20_000).orderBy(F.xxhash64(F.lit("jaccard"), "id"))
+    left_out = [r.id for r in d.collect()][16_000:16_020]  # a draw of 16,000 leaves their common passage out
+    passage = " ".join(f"p{k}" for k in range(15))
+    rows = [(i, " ".join(f"w{rng.getrandbits(40)}" for _ in range(25)) + (f" {passage}" if i in set(left_out) else "")) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    shared = spark.sparkContext.broadcast(J.common_shingles(docs))
+    some = docs.where(F.col("id").isin(left_out)).select(J._describe(shared)("text").alias("d")).select("d.*")
+    doc, h = J.shingles(next(chunks(pa.array([passage]))))
+    assert len(h) == 12
+    for r in some.collect():
+        assert r.n == 37 and len(r.prefix) == 6 and not set(r.prefix) & set(h.view(np.int64).tolist())
+
+
+def test_copies_count_once_and_counts_are_never_too_small(spark):
+    texts = ["a b c d e", "A b c d  e", "b c d e f", "a b c d e", "x y", None, "", " ", "a b c d " * 50]
+    one = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    blocks = {k: np.frombuffer(zlib.decompress(z), np.uint32) for b in J._counted(iter([one, one])) for k, z in zip(b["block"].to_pylist(), b["n"].to_pylist(), strict=True)}
+    n = np.concatenate([blocks.get(k, np.zeros(J.COUNTS_BLOCK, np.uint32)) for k in range(J.BUCKETS // J.COUNTS_BLOCK)])
+    of = lambda t: int(n[J._bucket(J.shingles(next(chunks(pa.array([t]))))[1])[0]])
+    assert (of("a b c d"), of("b c d e"), of("c d e f"), of("x y"), int(n.sum())) == (2, 2, 1, 1, 9)
+    ranks, hot = J.common_shingles(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").coalesce(1))
+    assert (ranks == J._rank(n)).all() and hot == J._rank(np.array(J.HOT_LEAST))
+    big = J._rank(np.array([0, 1, 2, 3, 1000, 2**31]))
+    assert (np.diff(big.astype(int)) > 0).all() and big[0] == 0
+
+
 def test_sketches_never_differ_more_than_sets():
     rng = np.random.default_rng(1)
     for n in (1, 3, 40, 900):
