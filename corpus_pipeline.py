@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import decontam, jaccard_join, langid, packing, toxicity
-from lattica.llm.common import crc_mod, remove, shared_dir, table
+from lattica.llm.common import crc_mod, cut, release, remove, shared_dir, table
 
 #: A language is rejected if it is undetermined or less likely than this.
 LEAST_LANGUAGE = 0.5
@@ -49,7 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that share an id one stays, the one with the smallest hash of all its columns. Null and empty
     texts link with nothing. Rows without an id are in no group and all stay.
     """
-    first = jaccard_join.contract(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = cut(jaccard_join.contract(docs).where("doc_id = component_id").select("doc_id").distinct())
+    release(spark)
     kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
     kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns), F.hash(*docs.columns)))).where("__n = 1").drop("__n")
     return kept.unionByName(docs.where("doc_id is null"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 19
 ROWS_PER_BATCH = 500
+BLOOM = "spark.sql.optimizer.runtime.bloomFilter.enabled"
 
 _RNG = np.random.default_rng(20240229)
 #: A random 64-bit value for each byte.
@@ -50,12 +51,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage."""
+    """Write df to the shared checkpoint folder and cut its lineage.
+
+    Meanwhile Spark makes no Bloom filters for its joins. It does so only where one side is small, for each key of
+    a join: a megabyte from every task, all merged in one task, and in the plans that the driver holds and sends.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    held = spark.conf.get(BLOOM)
+    spark.conf.set(BLOOM, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(BLOOM, held)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -65,10 +75,11 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished steps that nothing refers to any more, to save disk; no result depends on it."""
+    """Let Spark drop what finished steps left and nothing refers to any more: shuffle files, and the driver's memory; no result depends on it."""
     import gc
 
     gc.collect()
+    _trim()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -382,9 +382,11 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     comp = components(links).withColumnRenamed("id", "rep")
     release(spark)
 
-    of_class = classes.join(comp, "rep", "left").select("h1", "h2", "n", "copies", F.coalesce("component", "rep").alias("component"))
+    of_class = cut(classes.join(comp, "rep", "left").select("h1", "h2", "n", "copies", F.coalesce("component", "rep").alias("component")))
     of_id = hot_join(one.select("id", "h1", "h2", "n").where("n > 0"), of_class, ["h1", "h2", "n"], "copies", one.count()).select("id", "component")
-    of_id = of_id.union(one.where("n = 0").select("id", "id"))
+    of_id = cut(of_id.union(one.where("n = 0").select("id", "id")))
+    del one, of_class, classes, comp, links, first, rest, met, left, member, wanted, long, sets
+    release(spark)
     return rows.join(of_id, "id").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 

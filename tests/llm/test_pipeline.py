@@ -1,7 +1,7 @@
 import corpus_pipeline as cp
 
 from lattica.llm import decontam, jaccard_join
-from lattica.llm.common import table
+from lattica.llm.common import BLOOM, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,6 +31,27 @@ def test_run(spark):
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
 
 
+def test_duplicates_end_in_a_small_query(spark):
+    """The driver holds all of a query's stages and filters at once, so steps are written one by one, without Bloom filters."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    held = {k: spark.conf.get(k) for k in (*conf, BLOOM)}
+    ran = spark._jsparkSession.sharedState().statusStore()
+    before = ran.executionsList().size()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = table(spark, SF, "documents")
+        kept = cp.near_duplicates(spark, docs, SF)
+        assert kept._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+        assert {r["doc_id"] for r in kept.collect()} == {r["component_id"] for r in jaccard_join.contract(docs).collect()}
+        plans = [ran.executionsList().apply(k).physicalPlanDescription() for k in range(before, ran.executionsList().size())]
+        assert len(plans) > 10 and not any("bloom_filter" in p for p in plans)
+        assert spark.conf.get(BLOOM) == held[BLOOM]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_empty(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in cp.STAGES:
